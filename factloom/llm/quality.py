@@ -18,14 +18,15 @@ from .common import WORD_SPACE, store
 RULES: tuple[tuple[str, str, float, float], ...] = (
     ("symbols", "n_symbols / n_words", 0.10, 0.01),
     ("repeats", "n_repeat_words / n_words", 0.50, 0.20),
-    ("duplicate_lines", "n_dup_lines / n_lines", 0.30, 0.05),
+    ("duplicate_lines", "n_dup_lines / n_lines", 0.40, 0.05),
     ("word_chars", "word_chars / n_words", 12.0, 9.0),
     ("short_words", "word_chars / n_words", 2.0, 3.0),
     ("alphabetic", "n_alpha_words / n_words", 0.60, 0.80),
     ("distinct", "n_distinct_words / n_words", 0.15, 0.30),
-    ("words", "cast(n_words as double)", 50.0, 80.0),
 )
-LOW_IS_BAD = frozenset({"short_words", "alphabetic", "distinct", "words"})
+LOW_IS_BAD = frozenset({"short_words", "alphabetic", "distinct"})
+#: A rule calls at most this share of good documents bad: what keeps the two classes from changing their meaning.
+FALSE_ALARMS = 0.003
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_alpha_words", "n_distinct_words")
 
 
@@ -106,6 +107,8 @@ class LabelModel:
                     seen = {-1: 1.0 + 2 * k, 0: 1.0, 1: 3.0 - 2 * k}
                     for p, c in patterns.items():
                         seen[p[r]] += c * (post[p] if k == 0 else 1 - post[p])
+                    if k == 0:
+                        seen[-1] = min(seen[-1], FALSE_ALARMS * (seen[0] + seen[1]))
                     total = sum(seen.values())
                     row.append({v: math.log(s / total) for v, s in seen.items()})
                 table.append(row)
