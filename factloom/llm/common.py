@@ -59,3 +59,25 @@ def parts(spark: SparkSession) -> int:
 def fold(doc_id, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame:
+    """Rows joined to their groups, which have ``group_size``, their number of rows. Groups of over a thousandth of
+    all rows, of which there are fewer than a thousand, go to every task; only the others' rows are dealt by key."""
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    big = F.col("group_size") * 1000 > F.lit(max(total, 10_000))
+    hot = F.broadcast(groups.where(big))
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(groups.where(~big), key))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, *, text: str, id_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` (doc_id, sha: the text's digest) names. Where it names rows once that occur
+    several times with id and text, one of them is kept."""
+    named = store(kept.select(F.col("doc_id").alias("_kept_id"), F.col("sha").alias("_kept_sha")), "kept")
+    rows = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
+    out = rows.join(named, same, "left_semi")
+    twice = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not twice.isEmpty():
+        out = out.dropDuplicates([id_col, "_sha"])
+    return out.drop("_sha")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, parts, store
+from .common import ASCII_LOWER, ASCII_UPPER, join_groups, keep_rows, parts, store
 
 BLOCK_BYTES = 16_384
 #: Places of one content that a row may list; beyond that a further row begins.
@@ -81,7 +81,7 @@ def _named(gathered: DataFrame) -> DataFrame:
 
 def identities(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """uid (of the row), doc_id, sha (of the normalised text) and level and name, equal exactly for equal texts."""
-    named = Stored(_named(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_blocks, _GATHERED)), "names").read()
+    named = store(_named(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_blocks, _GATHERED)), "names")
     keep = ["uid", "doc_id", "sha", "level", "name"]
     done, level = [named.where("n = 1").withColumn("level", F.lit(0)).select(*keep)], 0
     longest = named.agg(F.max("n")).first()[0] or 1
@@ -110,11 +110,7 @@ def exact_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_
     """
     rows = identities(docs, text=text, id_col=id_col)
     groups = store(rows.groupBy("level", "name").agg(F.max(F.struct("doc_id", "uid")).alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
-    # Groups of over a thousandth of all rows, of which there are fewer than a thousand, go to every task.
-    total = groups.agg(F.sum("group_size")).first()[0] or 0
-    big = F.col("group_size") * 1000 > F.lit(max(total, 10_000))
-    key, hot = ["level", "name"], F.broadcast(groups.where(big))
-    joined = rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(groups.where(~big), key))
+    joined = join_groups(rows, groups, ["level", "name"])
     return joined.select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
@@ -122,11 +118,6 @@ def exact_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_
 
 def drop_exact_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one of each group of equal texts."""
-    kept = exact_duplicates(docs, text=text, id_col=id_col).where("kept").select(F.col("doc_id").alias("_keep"), F.unhex("text_sha256").alias("_sha"))
-    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = docs.withColumn("_row_sha", F.unhex(F.sha2(lowered.cast("binary"), 256)))
-    out = rows.join(store(kept, "kept"), F.col(id_col).cast("long").eqNullSafe(F.col("_keep")) & (F.col("_row_sha") == F.col("_sha")), "left_semi")
-    twice = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(id_col).alias("_twice"))
-    if twice.isEmpty():
-        return out.drop("_row_sha")
-    return out.dropDuplicates([id_col, "_row_sha"]).drop("_row_sha")
+    kept = exact_duplicates(docs, text=text, id_col=id_col).where("kept").select("doc_id", F.unhex("text_sha256").alias("sha"))
+    lowered = docs.withColumn("_text", F.translate(F.col(text), ASCII_UPPER, ASCII_LOWER))
+    return keep_rows(lowered, kept, text="_text", id_col=id_col).drop("_text")

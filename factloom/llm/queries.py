@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, quality, tokens, toxicity, url_filters
+from . import exact_dedup, language, near_dedup, packing, quality, tokens, toxicity, url_filters
 from .common import table
 
 
@@ -23,6 +23,14 @@ def op5_bpe_round_trip(spark, sf_dir):
     return tokens.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_ngram_jaccard_join(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -35,7 +43,7 @@ def op10_url_filters(spark, sf_dir):
     return url_filters.url_verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_quality_rules, op5_bpe_round_trip, op8_language_id, op9_exact_dedup, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_quality_rules, op5_bpe_round_trip, op6_best_fit_packing, op7_ngram_jaccard_join, op8_language_id, op9_exact_dedup, op10_url_filters)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
