@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, near_dedup, packing, quality, tokens, toxicity, url_filters
+from . import exact_dedup, language, lm, near_dedup, packing, quality, tokens, toxicity, url_filters
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark, sf_dir):
+    return lm.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark, sf_dir):
     judged = quality.quality(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
@@ -43,7 +47,7 @@ def op10_url_filters(spark, sf_dir):
     return url_filters.url_verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_quality_rules, op5_bpe_round_trip, op6_best_fit_packing, op7_ngram_jaccard_join, op8_language_id, op9_exact_dedup, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_lm_scoring, op4_quality_rules, op5_bpe_round_trip, op6_best_fit_packing, op7_ngram_jaccard_join, op8_language_id, op9_exact_dedup, op10_url_filters)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
