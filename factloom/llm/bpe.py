@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text (in characters) that share a table of distinct words: bounds the memory of a task.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 1_500_000
 _PIECES = regex.compile(SPLIT)
 
 
@@ -45,9 +45,7 @@ class ByteBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         vocab = spec["model"]["vocab"]
         back = {c: b for b, c in byte_letters().items()}
         special = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
@@ -63,6 +61,14 @@ class ByteBpe:
             self._bytes = np.zeros(max(self.pieces) + 1, np.int64)
             self._bytes[[*self.pieces]] = [len(p) for p in self.pieces.values()]
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        """The library's own tokenizer, loaded once a text needs it."""
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     @staticmethod
     def _prove(spec: dict, vocab: dict[str, int], special: dict[str, int]) -> bool:
         model, split = spec["model"], spec.get("pre_tokenizer") or {}
