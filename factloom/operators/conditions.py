@@ -126,10 +126,10 @@ def search(df: DataFrame, *, words: str = "", over: Sequence[str] = (), equal: M
     out = df
     for k, v in (equal or {}).items():
         out = out.where(F.col(k) == v)
-    if date and (start or end):
+    if date and (start is not None or end is not None):
         inside = F.lit(True)
-        inside = inside & (F.col(date) >= F.lit(start)) if start else inside
-        inside = inside & (F.col(date) <= F.lit(end)) if end else inside
+        inside = inside & (F.col(date) >= F.lit(start)) if start is not None else inside
+        inside = inside & (F.col(date) <= F.lit(end)) if end is not None else inside
         out = out.where(F.coalesce(inside, F.lit(undated)))
     if words and over:
         out = out.where(F.contains(F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in over])), F.lit(words.lower())))

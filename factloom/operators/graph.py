@@ -68,7 +68,8 @@ def neighbourhood(edges: DataFrame, node: str) -> DataFrame:
 
 def related_facts(nodes: DataFrame, edges: DataFrame, owners: DataFrame, owner: str, evidence: DataFrame | None = None) -> DataFrame:
     """Owner, relation, node and (left) evidence: the two-hop join from owners through edges."""
-    out = owners.select(F.col(owner).alias("owner")).join(edges, F.col("owner") == F.col("src")).join(nodes, F.col("dst") == F.col("id")).select("owner", "relation", "id", "type", "label", "props")
+    links = edges.select(F.col("src").alias("owner"), F.col("dst").alias("id"), "relation")
+    out = owners.select(F.col(owner).alias("owner")).join(links, "owner").join(nodes, "id").select("owner", "relation", "id", "type", "label", "props")
     if evidence is not None:
         out = out.join(evidence.select(F.col("node_id").alias("id"), F.col("text").alias("evidence_text")), "id", "left")
     return out
