@@ -92,14 +92,16 @@ class LabelModel:
 
     @classmethod
     def fit(cls, patterns: dict[tuple[int, ...], int], rounds: int = 200) -> LabelModel:
-        """EM over counted vote patterns, in plain arithmetic. It starts from the share of good among votes cast."""
+        """EM over counted vote patterns, in plain arithmetic. It starts from the share of good among votes cast; how
+        often documents are good is held at the share without a bad vote, within 0.5 to 0.99, or classes could drift
+        where rules mostly agree."""
         n = len(next(iter(patterns), ()))
+        total = sum(patterns.values())
+        prior = min(0.99, max(0.5, sum(c for p, c in patterns.items() if not any(v < 0 for v in p)) / total)) if total else 0.5
         post = {p: min(0.95, max(0.05, 0.5 + sum(p) / (2.0 * max(1, sum(map(abs, p)))) - 0.6 * any(v < 0 for v in p))) for p in patterns}
         model = cls(0.5, [[{-1: 0.0, 0: 0.0, 1: 0.0}] * 2 for _ in range(n)])
         for _ in range(rounds):
             # Beta and Dirichlet priors keep every estimate inside (0, 1) and rules on the right side of chance.
-            weight = [sum(c * post[p] for p, c in patterns.items()), sum(c * (1 - post[p]) for p, c in patterns.items())]
-            prior = (weight[0] + 9) / (weight[0] + weight[1] + 10)
             table = []
             for r in range(n):
                 row = []
@@ -109,8 +111,8 @@ class LabelModel:
                         seen[p[r]] += c * (post[p] if k == 0 else 1 - post[p])
                     if k == 0:
                         seen[-1] = min(seen[-1], FALSE_ALARMS * (seen[0] + seen[1]))
-                    total = sum(seen.values())
-                    row.append({v: math.log(s / total) for v, s in seen.items()})
+                    every = sum(seen.values())
+                    row.append({v: math.log(s / every) for v, s in seen.items()})
                 table.append(row)
             model = cls(prior, table)
             fresh = {p: model.posterior(p) for p in patterns}
