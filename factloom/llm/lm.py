@@ -204,8 +204,14 @@ def totals_of(b: Bucket, t) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def with_customers(b: Bucket, kept: list) -> list:
+    """Tables of kept sweeps with the customers they make of parents."""
+    return [(*t, *b.above(t[0], t[1])) for t in kept]
+
+
 def log_probabilities(b: Bucket, kept: list, totals: list[Totals], word, context) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of the probability of words after contexts, averaged over kept sweeps; and the words' training counts."""
+    """log10 of the probability of words after contexts, averaged over kept sweeps (``with_customers``); and the
+    words' training counts."""
 
     def find(keys, wanted):
         at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
@@ -217,8 +223,7 @@ def log_probabilities(b: Bucket, kept: list, totals: list[Totals], word, context
     i2, has2 = find(b.key2, i0 * CONTEXTS + context)
     has1, has2 = has1 & has0, has2 & has0
     total = np.zeros(len(word))
-    for (t2, t1, t0), z in zip(kept, totals, strict=True):
-        c1, c0 = b.above(t2, t1)
+    for (t2, t1, t0, c1, c0), z in zip(kept, totals, strict=True):
 
         def own(level, at, i, has, c, t, z=z):
             return np.where(has, z.seated(level, at, c[i], t[i]), 0.0) if len(c) else np.zeros(len(word))
@@ -385,7 +390,7 @@ def score(docs: DataFrame, model: dict, *, text: str = "text", id_col: str = "do
         empty = np.zeros(0, np.int64)
         row = right.to_pylist()[0] if right.num_rows else None
         b = Bucket(*unpacked(row["pairs"], 3)) if row else Bucket(empty, empty, empty)
-        seats = [_read_tables(t, b) for t in row["tables"]] if row else [(empty, empty, empty)] * len(totals)
+        seats = with_customers(b, [_read_tables(t, b) for t in row["tables"]] if row else [(empty, empty, empty)] * len(totals))
         out: dict[int, list] = {}
         for d in left.column("data").to_pylist():
             word, context, uid, doc, known, n = unpacked(d, 6)

@@ -259,7 +259,7 @@ def test_lm_probabilities_sum_to_one():
     for k in range(4):
         z = lm.Totals(lm.totals_of(b, t))
         for c in (lm.START, int(context[1]), 1 + lm.ENDINGS + 2, 77):
-            logp, count = lm.log_probabilities(b, [t], [z], np.r_[b.w0, 999], np.full(21, c))
+            logp, count = lm.log_probabilities(b, lm.with_customers(b, [t]), [z], np.r_[b.w0, 999], np.full(21, c))
             assert abs((10.0**logp).sum() - 1) < 1e-9
         t = lm.sweep(b, t, z, np.random.default_rng(k))
         c1, c0 = b.above(t[0], t[1])
