@@ -6,10 +6,12 @@ Equal shingle sets are one vertex, so copies are never paired. What cannot have
   shares several of the first n - T + l; sets whose first shingles are mostly their own leave.
 * Of what is left, all shingles are listed; sets with fewer than T shared shingles leave. What stays is ordered from
   the shortest list to the longest, and a partner shares one of the n - T + 1 first. Long lists (boilerplate that many
-  documents share) thus never make candidates unless a document holds little else.
+  documents share) thus never make candidates unless a document holds little else. Where two sets' first common
+  shingle stands bounds their overlap, and pairs that it rules out aren't made.
 
-Components, not pairs, are asked for. In a few rounds each set is searched against one pivot of the lists it is in,
-which joins large groups in linear work. Then each pair of sets that share a list and still are in different
+Components, not pairs, are asked for. In two rounds each set is searched against one pivot of the lists it is in,
+first the most central set (of an original and its edited copies, the original), which joins large groups in linear
+work. Then each pair of sets that share a list and still are in different
 components is searched, so no link is lost. Searches are T-occurrence searches: short lists are heap-merged, and
 candidates that appear in them often enough are probed in the long ones by binary search.
 """
@@ -275,18 +277,20 @@ def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
     return store(out, "components")
 
 
-def _cross(batches):
-    """Of lists (h, sid, component) that come sorted by h and component: pairs of sets in different components. The
-    largest component of a list meets the others; pairs within a component are not made."""
+def _cross(link: int):
+    """Of lists (h, sid, component, n, left) that come sorted by h and component: pairs of sets in different components
+    that can be linked if this list is the first that they share. A linked pair's first common shingle always passes:
+    the overlap is at most 1 and what is left of either set. Pairs within a component are not made."""
 
-    def pairs(sid: np.ndarray, comp: np.ndarray):
+    def pairs(sid, comp, n, left):
         starts = np.flatnonzero(np.r_[True, comp[1:] != comp[:-1]])
         for i, at in enumerate(starts[1:], 1):
             end = starts[i + 1] if i + 1 < len(starts) else len(sid)
-            for x in sid[at:end]:
-                for lo in range(0, at, 10_000):
-                    some = sid[lo : min(lo + 10_000, at)]
-                    yield np.minimum(some, x), np.maximum(some, x)
+            for x in range(at, end):
+                need = -(-(n[:at] + n[x]) * link // (100 + link))
+                able = np.flatnonzero((1 + np.minimum(left[:at], left[x]) >= need) & (100 * np.minimum(n[:at], n[x]) >= link * np.maximum(n[:at], n[x])))
+                if len(able):
+                    yield np.minimum(sid[able], sid[x]), np.maximum(sid[able], sid[x])
 
     def flush(found):
         a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
@@ -295,26 +299,26 @@ def _cross(batches):
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
         return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["q", "c"])
 
-    found, size, hold = [], 0, [np.zeros(0, np.int64)] * 3
-    for b in _then_none(batches):
-        rows = hold if b is None else [np.concatenate([x, b.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(hold)]
-        h = rows[0]
-        if b is None:
-            end = len(h)
-        else:
-            end = int(np.searchsorted(h, h[-1])) if len(h) else 0
-        cuts = np.flatnonzero(np.r_[True, h[1:end] != h[: end - 1]]) if end else []
-        for i, at in enumerate(cuts):
-            stop = cuts[i + 1] if i + 1 < len(cuts) else end
-            for p in pairs(rows[1][at:stop], rows[2][at:stop]):
-                found.append(p)
-                size += len(p[0])
-                if size > 500_000:
-                    yield flush(found)
-                    found, size = [], 0
-        hold = [x[end:] for x in rows]
-    if found:
-        yield flush(found)
+    def run(batches):
+        found, size, hold = [], 0, [np.zeros(0, np.int64)] * 5
+        for b in _then_none(batches):
+            rows = hold if b is None else [np.concatenate([x, b.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(hold)]
+            h = rows[0]
+            end = len(h) if b is None or not len(h) else int(np.searchsorted(h, h[-1]))
+            cuts = np.flatnonzero(np.r_[True, h[1:end] != h[: end - 1]]) if end else []
+            for i, at in enumerate(cuts):
+                stop = cuts[i + 1] if i + 1 < len(cuts) else end
+                for p in pairs(*(x[at:stop] for x in rows[1:])):
+                    found.append(p)
+                    size += len(p[0])
+                    if size > 500_000:
+                        yield flush(found)
+                        found, size = [], 0
+            hold = [x[end:] for x in rows]
+        if found:
+            yield flush(found)
+
+    return run
 
 
 def _then_none(batches):
@@ -357,23 +361,26 @@ def classes(docs: DataFrame, *, link: int = LINK, text: str = "text", id_col: st
     lengths = postings.groupBy("h").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
     own = Window.partitionBy("sid")
     live = postings.join(lengths, "h").withColumn("place", F.row_number().over(own.orderBy("length", "h"))).withColumn("live", F.count(F.lit(1)).over(own))
-    # Of a set's n - T + 1 first shingles, those that are its own come first and make no candidates.
-    lists = live.join(named, "sid").where(F.col("place") <= F.col("live") - F.ceil(F.col("n") * link / 100) + 1).select("h", "sid")
-    lists = store(lists, "lists")
+    # Of a set's n - T + 1 first shingles, those that are its own come first and make no candidates. ``left``: how many
+    # shingles of the set come after this one; ``own``: the share that no other set has.
+    lists = live.join(named, "sid").where(F.col("place") <= F.col("live") - F.ceil(F.col("n") * link / 100) + 1)
+    lists = store(lists.select("h", "sid", "n", (F.col("live") - F.col("place")).alias("left"), (1 - F.col("live") / F.col("n")).alias("own")), "lists")
     _release(spark)
 
     comps = store(lists.select("sid").distinct().withColumn("component", F.col("sid")), "components")
     for k in range(PIVOT_ROUNDS):
         at = lists.join(comps, "sid")
-        pivots = at.groupBy("h").agg(F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("order"), "sid", "component")).alias("pivot"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        # The first pivot of a list is its most central set, as an original is among its edited copies.
+        order = F.struct(F.lit(0.0) if k else F.col("own"), F.xxhash64("sid", F.lit(k)), "sid", "component")
+        pivots = at.groupBy("h").agg(F.min(order).alias("pivot"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         met = at.join(pivots.where("lo <> hi").drop("lo", "hi"), "h").where("component <> pivot.component")
         votes = met.groupBy(F.col("sid").alias("c"), F.col("pivot.sid").alias("q")).agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy("c").agg(F.max(F.struct("n", "q")).alias("best")).select(F.col("best.q").alias("q"), "c")
         comps = _merge(comps, _search_pairs(best, sets, link))
     at = lists.join(comps, "sid")
     split = at.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-    rest = at.join(split, "h", "left_semi").select("h", "sid", "component")
-    rest = rest.repartition(parts(spark), "h").sortWithinPartitions("h", "component", "sid").mapInArrow(_cross, "q long, c long").distinct()
+    rest = at.join(split, "h", "left_semi").select("h", "sid", "component", "n", "left")
+    rest = rest.repartition(parts(spark), "h").sortWithinPartitions("h", "component", "sid").mapInArrow(_cross(link), "q long, c long").distinct()
     comps = _merge(comps, _search_pairs(rest, sets, link))
     out = sketch.join(comps, "sid", "left")
     return out.select("doc_id", "uid", "sha", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "sid")).alias("class"))
