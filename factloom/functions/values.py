@@ -10,6 +10,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, body) -> Column:
+    """``body`` of a value that is computed once: long expressions stay small in the plan and in generated code."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_present(c, kind: str = "string") -> Column:
     """Missing is null, the empty string, array or map; zero and false are values. ``kind``: string, collection, other."""
     c = col(c)

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import quantities as Q
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import assessment, conditions, coverage, documents, evaluation, graph, identity, joins, ordered, screening, series
+from ..operators import assessment, conditions, coverage, documents, evaluation, graph, identity, joins, layout, ordered, screening, series
 from ..streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -787,3 +788,95 @@ def identity_proposals(spark, sf_dir):
         return df.select(F.concat(F.lit(p), F.col(key).cast("string")).alias("id"), F.col(f"{p}_name").alias("name"), F.col(f"{p}_nationkey").cast("string").alias("route"), F.lit("L").alias("side"), F.floor(F.col(f"{p}_acctbal") * 10).cast("long").alias("start_m"), (F.floor(F.col(f"{p}_acctbal") * 10) + 500).cast("long").alias("end_m"), F.lit(None).cast("string").alias("namespace"), F.lit(None).cast("string").alias("external_id"))
 
     return identity.proposals(shaped(t(spark, sf_dir, "supplier"), "s", "s_suppkey"), shaped(t(spark, sf_dir, "customer").withColumnRenamed("c_name", "c_name"), "c", "c_custkey")).where("place = 1")
+
+
+# --- retrieval, typed values, bindings, readings --------------------------------------------------------------------------
+
+
+@query("""
+WITH l AS (SELECT doc_id, lower(unnest(string_split(text, chr(10)))) AS line FROM documents), k(keyword) AS (VALUES ('licensed'), ('the and'), ('die '))
+SELECT doc_id, keyword, count(*) AS n_lines FROM l, k WHERE contains(line, keyword) GROUP BY ALL""")
+def keyword_retrieval(spark, sf_dir):
+    words = spark.createDataFrame([("licensed",), ("the and",), ("die ",)], "keyword string")
+    hits = joins.keyword_pages(t(spark, sf_dir, "documents"), words, "doc_id", "text", "keyword")
+    return hits.where("quote is not null").groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query("""
+WITH d AS (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '1997-06-30') AS age FROM orders)
+SELECT o_orderkey, CASE WHEN age < 0 THEN 'future_date' WHEN age <= 30 THEN 'current' WHEN age <= 90 THEN 'aging' ELSE 'stale' END AS validity FROM d""")
+def temporal_validity(spark, sf_dir):
+    return t(spark, sf_dir, "orders").select("o_orderkey", V.age_class(F.date_format("o_orderdate", "yyyy-MM-dd"), "1997-06-30").alias("validity"))
+
+
+@query("""
+WITH v AS (SELECT o_orderkey, CAST(floor(o_totalprice / 1000) AS BIGINT) AS a, CAST(floor(o_totalprice / 1000) AS BIGINT) + o_custkey % 7 - 1 AS b FROM orders)
+SELECT o_orderkey, CASE WHEN a > b THEN 'rejected' ELSE 'accepted' END AS state, CASE WHEN a > b THEN 'bounds_reversed' END AS reason, CASE WHEN a <= b THEN a::DOUBLE END AS lower, CASE WHEN a <= b THEN b::DOUBLE END AS upper FROM v""")
+def typed_quantities(spark, sf_dir):
+    a = F.floor(F.col("o_totalprice") / 1000).cast("long")
+    text = F.concat(F.lit("约"), a.cast("string"), F.lit("~"), (a + F.col("o_custkey") % 7 - 1).cast("string"))
+    rows = t(spark, sf_dir, "orders").select("o_orderkey", text.alias("v"), F.concat(F.lit("损失"), text, F.lit("万元")).alias("quote"), F.lit("万元").alias("unit"))
+    return rows.select("o_orderkey", Q.quantity("v", "unit", "quote", kind="money").alias("q")).select("o_orderkey", "q.state", "q.reason", "q.lower", "q.upper")
+
+
+@query("""
+WITH n AS (SELECT user_id, max(event_id) AS seq FROM events GROUP BY user_id)
+SELECT user_id AS binding_id, seq % 11 AS master_id, seq FROM n WHERE seq % 3 <> 0""")
+def active_bindings(spark, sf_dir):
+    h = _events(spark, sf_dir).select(F.col("user_id").alias("binding_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "release").otherwise("assign").alias("action"), (F.col("event_id") % 11).alias("master_id"))
+    return identity.active_bindings(h)
+
+
+@query("""
+WITH e AS (SELECT user_id AS job_id, event_id AS seq, CASE WHEN event_id % 97 = 0 THEN 'failed' WHEN event_id % 2 = 0 THEN 'running' ELSE 'queued' END AS state FROM events)
+SELECT job_id, arg_max(state, seq) AS state, arg_max(state, seq) <> 'failed' AS active, coalesce(min(seq) FILTER (state = 'failed') = max(seq), true) AS legal FROM e GROUP BY job_id""")
+def job_states(spark, sf_dir):
+    e = _events(spark, sf_dir).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 97 == 0, "failed").when(F.col("event_id") % 2 == 0, "running").otherwise("queued").alias("state"))
+    return stream.job_states(e)
+
+
+@query("""
+WITH a AS (SELECT l_orderkey, count(*) AS n, min(l_returnflag) AS v FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL), b AS (SELECT l_orderkey, count(*) AS n, min(l_returnflag) AS v FROM lineitem WHERE l_linenumber = 2 GROUP BY ALL)
+SELECT l_orderkey, a.v AS a_value, b.v AS b_value, CASE WHEN a.n > 1 OR b.n > 1 THEN 'ambiguous' WHEN a.n IS NULL THEN 'only_second' WHEN b.n IS NULL THEN 'only_first' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'agree' ELSE 'differ' END AS state FROM a FULL JOIN b USING (l_orderkey)""")
+def independent_readings(spark, sf_dir):
+    li = t(spark, sf_dir, "lineitem")
+    return layout.independent_readings(li.where("l_linenumber = 1"), li.where("l_linenumber = 2"), ["l_orderkey"], "l_returnflag")
+
+
+@query("""
+WITH c AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY ALL)
+SELECT CASE WHEN n IS NULL THEN 'unassigned' WHEN n = 1 THEN 'attributed' ELSE 'disputed' END AS state, count(*) AS n FROM orders LEFT JOIN c ON l_orderkey = o_orderkey GROUP BY 1""")
+def attribution_partition(spark, sf_dir):
+    units = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit_id"))
+    claims = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit_id"), F.col("l_suppkey").alias("owner"))
+    return layout.attribution_partition(units, claims).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH s AS (SELECT o_custkey, o_orderkey, o_totalprice, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS a, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) + 60 AS b FROM orders),
+m AS (SELECT *, max(b) OVER (PARTITION BY o_custkey ORDER BY a, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+c AS (SELECT *, CAST(sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY a, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM m)
+SELECT o_custkey, cluster, o_orderkey FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey, cluster ORDER BY o_totalprice DESC, o_orderkey) = 1""")
+def overlap_clusters(spark, sf_dir):
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date")).cast("long")
+    spans = t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", day.alias("a"), (day + 60).alias("b"))
+    out = layout.overlap_clusters(spans, ["o_custkey"], "a", "b", [F.col("o_totalprice").desc()], ["o_orderkey"])
+    return out.where("chosen").select("o_custkey", "cluster", "o_orderkey")
+
+
+@query("""
+WITH f AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey - 1 END AS s FROM orders)
+SELECT o_orderkey FROM f WHERE o_orderkey NOT IN (SELECT s FROM f WHERE s IS NOT NULL)""")
+def supersession(spark, sf_dir):
+    f = t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderkey") - 1).alias("s"))
+    return ordered.superseded_out(f, "o_orderkey", "s").select("o_orderkey")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, concat_ws('|', CASE WHEN l_returnflag = 'R' THEN 'no_id' END, CASE WHEN l_linestatus = 'F' AND l_quantity > 45 THEN 'unknown_kind' END, CASE WHEN l_linestatus = 'O' AND l_tax = 0 THEN 'no_unit' END) AS problems FROM lineitem
+WHERE l_returnflag = 'R' OR (l_linestatus = 'F' AND l_quantity > 45) OR (l_linestatus = 'O' AND l_tax = 0)""")
+def fact_contract(spark, sf_dir):
+    li = t(spark, sf_dir, "lineitem")
+    kind = F.when((F.col("l_linestatus") == "F") & (F.col("l_quantity") > 45), "picture").when(F.col("l_linestatus") == "F", "text").otherwise("number")
+    facts = li.select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") != "R", F.lit("f")).alias("fact_id"), F.lit("v").alias("variable"), kind.alias("kind"), F.col("l_quantity").alias("value"), F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"), F.when(F.col("l_tax") != 0, F.lit("u")).alias("unit"))
+    return facts.withColumn("problems", F.array_join(assessment.fact_problems(), "|")).where("problems <> ''").select("l_orderkey", "l_linenumber", "l_partkey", "problems")
