@@ -23,7 +23,8 @@ from .common import fold, store
 #: Labelled rows to fit on, at most; taken by a hash of the id, whatever their order.
 SAMPLE = 20_000
 #: Words that the classifier weighs, at most, and words that vote, at most.
-WORDS, LEXICON = 512, 128
+WORDS, LEXICON = 512, 256
+STEM = 5
 #: A first lexicon, which the labelled rows extend or, where its words say nothing, leave without weight.
 SEED = ("idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "worthless", "trash", "pathetic", "scum", "clown", "garbage", "disgusting", "hate", "kill", "ugly", "dumb", "filth", "vermin")
 _WORD = regex.compile(r"\p{L}+")
@@ -39,6 +40,11 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def terms_of(words: list[str]) -> list[str]:
+    """Words and, marked with a star, the first STEM letters of longer ones, which inflected forms share."""
+    return words + [w[:STEM] + "*" for w in words if len(w) > STEM]
+
+
 def voter_names(lexicon: list[str]) -> list[str]:
     return [*lexicon, *(p[0] for p in _PATTERNS), "no_lexicon_word"]
 
@@ -51,7 +57,7 @@ def featurise(texts: list[str], words: list[str], lexicon: list[str]) -> tuple[n
     for i, t in enumerate(texts):
         found = words_of(t)
         n, hits = max(1, len(found)), 0
-        for w in found:
+        for w in terms_of(found):
             if (k := at.get(w)) is not None:
                 x[i, k] = 1
             if (k := lex.get(w)) is not None:
@@ -181,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Scorer
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 y = int(y > 0)
                 total[y] += 1
-                for w in {*words_of(t)}:
+                for w in {*terms_of(words_of(t))}:
                     n.setdefault(w, [0, 0])[y] += 1
         n[""] = total
         yield pa.RecordBatch.from_arrays([pa.array([*n], pa.string()), pa.array([x[0] for x in n.values()], pa.int64()), pa.array([x[1] for x in n.values()], pa.int64())], names=["word", "clean", "toxic"])
@@ -189,9 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Scorer
     counted = store(rows.mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "words")
     totals = counted.where("word = ''").first()
     clean, toxic = (totals.clean, totals.toxic) if totals else (0, 0)
-    p1, p0 = (F.col("toxic") + 0.5) / (toxic + 1.0), (F.col("clean") + 0.5) / (clean + 1.0)
-    strength = F.log(p1 / (1 - F.least(p1, F.lit(0.999999)))) - F.log(p0 / (1 - F.least(p0, F.lit(0.999999))))
-    z = strength / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    # How far a word's toxic documents are from their share of all: in standard deviations of chance.
+    n, share = F.col("toxic") + F.col("clean"), (toxic + 1.0) / (toxic + clean + 2.0)
+    z = (F.col("toxic") - n * share) / F.sqrt(n * share * (1 - share) + 1)
     scored = counted.where("word <> ''").select("word", z.alias("z"), "toxic")
     top = scored.orderBy(F.abs("z").desc(), "word").limit(WORDS).collect()
     words = sorted({*SEED, *(r.word for r in top)})
