@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def confusion(pairs: DataFrame, actual: str, predicted: str, labels: DataFrame) -> DataFrame:
-    """Counts over the whole grid of ``labels`` (one column, label; a small dimension), zero where none occurs."""
-    k = labels.select("label").withColumn("_k", F.lit(0))
-    grid = k.select(F.col("label").alias("actual"), "_k").join(F.broadcast(k.select(F.col("label").alias("predicted"), "_k")), "_k").drop("_k")
-    n = pairs.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+def confusion(pairs: DataFrame, actual: str, predicted: str, labels: Sequence) -> DataFrame:
+    """Counts over the whole grid of ``labels``, zero where none occurs."""
+    kind = dict(pairs.dtypes)[actual]
+    grid = pairs.sparkSession.createDataFrame([*itertools.product(labels, labels)], f"actual {kind}, predicted {kind}")
+    n = pairs.groupBy(F.col(actual).alias("actual"), F.col(predicted).cast(kind).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
     return grid.join(n, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

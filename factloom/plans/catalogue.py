@@ -662,7 +662,7 @@ WITH p AS (SELECT toxic AS actual, CASE WHEN lower(text) LIKE '%idiot%' OR lower
 g AS (SELECT a.x AS actual, b.x AS predicted FROM (VALUES (0), (1)) a(x), (VALUES (0), (1)) b(x))
 SELECT g.actual, g.predicted, count(p.actual) AS n FROM g LEFT JOIN p ON p.actual = g.actual AND p.predicted = g.predicted GROUP BY ALL""")
 def confusion_matrix(spark, sf_dir):
-    return evaluation.confusion(_pairs(spark, sf_dir), "toxic", "predicted", spark.createDataFrame([(0,), (1,)], "label int"))
+    return evaluation.confusion(_pairs(spark, sf_dir), "toxic", "predicted", [0, 1])
 
 
 def _pairs(spark, sf_dir):
