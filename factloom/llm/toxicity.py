@@ -83,7 +83,7 @@ class VoteModel:
     def fit(cls, votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> VoteModel:
         """votes (documents, voters) in -1, 0, 1. EM from the starting posteriors; the tree follows the voters'
         mutual information given the class, in each of the first rounds anew."""
-        v, post = votes.astype(np.int64) + 1, np.clip(start, 0.02, 0.98)
+        v, post = votes + np.int8(1), np.clip(start, 0.02, 0.98)
         model = None
         for k in range(rounds):
             parent = cls.tree(v, post) if k < 3 or model is None else model.parent
@@ -101,12 +101,17 @@ class VoteModel:
         n, m = v.shape
         if n == 0:
             return [-1] * m
-        one = np.concatenate([(v == s).astype(np.float32) for s in range(3)], 1)
         info = np.zeros((m, m))
         for w in (post, 1 - post):
             total = w.sum() + 1e-9
-            joint = ((one * w[:, None].astype(np.float32)).T @ one).reshape(3, m, 3, m) / total
-            single = (one * w[:, None]).sum(0).reshape(3, m) / total
+            joint, single = np.zeros((3 * m, 3 * m)), np.zeros(3 * m)
+            for at in range(0, n, 2000):  # in slices of rows, for the driver's memory
+                part = v[at : at + 2000]
+                one = np.concatenate([(part == s).astype(np.float32) for s in range(3)], 1)
+                weighed = one * w[at : at + 2000, None].astype(np.float32)
+                joint += weighed.T @ one
+                single += weighed.sum(0)
+            joint, single = joint.reshape(3, m, 3, m) / total, single.reshape(3, m) / total
             ratio = joint / np.maximum(single[:, :, None, None] * single[None, None], 1e-12)
             info += total / n * np.where(joint > 1e-12, joint * np.log(np.maximum(ratio, 1e-12)), 0).sum((0, 2))
         parent, best, left = [-1] * m, info[0].copy() if m else [], set(range(1, m))
@@ -128,19 +133,20 @@ class VoteModel:
         out = np.zeros((m, 2, 3, 3))
         for j in range(m):
             for y, w in enumerate((1 - post, post)):
-                own = np.bincount(v[:, j], w, 3) + 0.1
+                mine = v[:, j].astype(np.int64)
+                own = np.bincount(mine, w, 3) + 0.1
                 own /= own.sum()
-                joint = np.bincount(v[:, parent[j]] * 3 + v[:, j], w, 9).reshape(3, 3) if parent[j] >= 0 else np.tile(np.bincount(v[:, j], w, 3), (3, 1))
+                joint = np.bincount(v[:, parent[j]].astype(np.int64) * 3 + mine, w, 9).reshape(3, 3) if parent[j] >= 0 else np.tile(np.bincount(mine, w, 3), (3, 1))
                 joint = joint + 5 * own
                 out[j, y] = np.log(joint / joint.sum(1, keepdims=True))
         return out
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        v = votes.astype(np.int64) + 1
+        v = votes + np.int8(1)
         s = np.full(len(v), np.log(max(self.prior, 1e-6)) - np.log(max(1 - self.prior, 1e-6)))
         for j, p in enumerate(self.parent):
-            a = v[:, p] if p >= 0 else 0
-            s += self.table[j, 1, a, v[:, j]] - self.table[j, 0, a, v[:, j]]
+            a, b = v[:, p].astype(np.int64) if p >= 0 else 0, v[:, j].astype(np.int64)
+            s += self.table[j, 1, a, b] - self.table[j, 0, a, b]
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
@@ -151,10 +157,11 @@ def fit_linear(x: np.ndarray, y: np.ndarray, *, penalty: float = 1.0, rounds: in
     if not n:
         return w, b
     weight = np.where(y >= 0.5, 1 / max(1.0, (y >= 0.5).sum()), 1 / max(1.0, (y < 0.5).sum())) / 2
-    rate = 4 / ((x.astype(np.float64) ** 2).sum(1).max() + 1)
+    weight = weight.astype(np.float32)
+    rate = 4 / (float(np.einsum("ij,ij->i", x, x).max()) + 1)
     vw, vb = w.copy(), b
     for k in range(rounds):
-        e = weight * (1 / (1 + np.exp(-np.clip(x @ vw + vb, -30, 30))) - y)
+        e = weight * (1 / (1 + np.exp(-np.clip(x @ vw.astype(np.float32) + np.float32(vb), -30, 30))) - y).astype(np.float32)
         nw, nb = vw - rate * (x.T @ e + penalty / n * vw), vb - rate * e.sum()
         vw, vb = nw + k / (k + 3) * (nw - w), nb + k / (k + 3) * (nb - b)
         w, b = nw, nb
@@ -213,6 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Scorer
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, width)
     v = np.frombuffer(b"".join(got["v"]), np.int8).reshape(-1, voters)
     y = (got["y"].to_numpy() > 0).astype(float)
+    del got
     if not len(y) or y.min() == y.max():
         y = 1 / (1 + np.exp(2.0 - 1.5 * v.astype(float).clip(0).sum(1)))
     model = VoteModel.fit(v, 0.05 + 0.9 * y) if len(y) else None
