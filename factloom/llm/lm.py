@@ -33,8 +33,9 @@ START, ENDINGS = 0, 1 << 16
 CONTEXTS = 1 + ENDINGS + HEADS
 #: Sweeps, and how many of the last of them predictions average over.
 SWEEPS, KEPT = 4, 2
-#: Customers of one word in one restaurant that a sweep seats anew, at most.
-MOVES = 8
+#: Steps in which a sweep seats all customers of a word in a restaurant anew: one by one up to so many, else in equal
+#: parts, within which leaving and joining go by the seating at the part's start.
+STEPS = 32
 #: Discount and strength by level: no context, shared parents, contexts.
 DISCOUNT, STRENGTH = (0.6, 0.75, 0.8), (50.0, 20.0, 10.0)
 #: Share of a task's words above which a word counts as frequent there.
@@ -108,27 +109,37 @@ def grouped(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
     return [k[order][starts] for k in keys], group, np.diff(np.r_[starts, len(order)])
 
 
+def drawn(rng, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """How many of n trials of probability p succeed."""
+    out = (rng.random(len(n)) < p).astype(np.int64)
+    many = np.flatnonzero(n > 1)
+    out[many] = rng.binomial(n[many], np.clip(p[many], 0, 1))
+    return out
+
+
 def seat(rng, c: np.ndarray, t: np.ndarray, prior: np.ndarray, theta: float, d: float, tables: np.ndarray) -> np.ndarray:
-    """A Gibbs sweep over the seating of each dish: tables t of c customers.
+    """A Gibbs sweep over the seating of each dish: tables t of c customers, all of whom are seated anew.
 
     A customer picked at random leaves: its table closes if it sat alone, which of c customers at t tables with
     sizes exchangeable is so for the share that sizes drawn from the process give; it then opens a table with weight
     (theta + d * tables) * prior or joins one with weight c - d * t. ``tables`` are the restaurant's.
     """
-    t = t.copy()
+    t, others = t.copy(), tables - t
     some = np.flatnonzero(c > 1)
-    for k in range(MOVES):
-        some = some[c[some] > k + 1] if k else some
+    for k in range(STEPS):
+        some = some[c[some] > k]
         if not len(some):
             break
-        cc, tt = c[some].astype(float), t[some].astype(float)
-        # Of t tables of a Pitman-Yor seating of c customers, the expected number with one customer.
-        singles = np.where(tt == 1, 0.0, np.minimum(tt - (cc > tt), tt * d + (1 - d) * tt * tt / cc))
-        gone = rng.random(len(some)) * cc < singles
+        n, tt = c[some], t[some].astype(float)
+        m = np.where(n > STEPS, (k + 1) * n // STEPS - k * n // STEPS, 1)
+        # Of t tables of a Pitman-Yor seating of c customers, the expected number with one customer: exact where t is 1,
+        # c - 1 or c, and in the limit of large c.
+        singles = np.where(tt == n, tt, (tt - 1) * (d + (1 - d) * tt / (n - 1)))
+        gone = np.minimum(drawn(rng, m, singles / n), tt)
         tt -= gone
-        new = (theta + d * np.maximum(tables[some] - gone, 0)) * prior[some]
-        opens = rng.random(len(some)) * (new + (cc - 1) - d * tt) < new
-        t[some] = np.maximum(1, tt + opens).astype(np.int64)
+        new = (theta + d * np.maximum(others[some] + tt, 0)) * prior[some]
+        tt += drawn(rng, m, new / (new + np.maximum(n - m - d * tt, 0)))
+        t[some] = np.clip(tt, 1, n).astype(np.int64)
     return t
 
 
