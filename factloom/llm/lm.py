@@ -38,8 +38,8 @@ SWEEPS, KEPT = 4, 2
 STEPS = 32
 #: Discount and strength by level: no context, shared parents, contexts.
 DISCOUNT, STRENGTH = (0.6, 0.75, 0.8), (50.0, 20.0, 10.0)
-#: Share of a task's words above which a word counts as frequent there.
-FREQUENT = 1e-4
+#: Distinct words of which a task holds counts before it sends them on.
+MOST_COUNTED = 1_000_000
 END = b"\n"
 _PACK = zstandard.ZstdCompressor(level=1)
 
@@ -265,7 +265,11 @@ def _collect_totals(state: DataFrame) -> Totals:
 
 
 def _frequent(docs: DataFrame) -> tuple[int, list[tuple[int, int]]]:
-    """All training tokens, and words with counts that are frequent in some task (so: all that are so overall)."""
+    """All training tokens, and the most frequent words with their counts over all texts. Tasks send the counts of all
+    their words, in parts of bounded size."""
+
+    def sent(n):
+        return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.int64()), pa.array(n.values(), pa.int64())], names=["word", "n"])
 
     def run(batches):
         n: Counter[int] = Counter()
@@ -273,14 +277,14 @@ def _frequent(docs: DataFrame) -> tuple[int, list[tuple[int, int]]]:
             memo = Words()
             for t in b.column(0).to_pylist():
                 n.update([memo[w][0] for w in tokens(t)])
-        total = sum(n.values())
-        rows = [(x, k) for x, k in n.items() if k >= FREQUENT * total] + [(-1, total)]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.int64())], names=["word", "n"])
+            if len(n) > MOST_COUNTED:
+                yield sent(n)
+                n.clear()
+        yield sent(n)
 
     sums = store(docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
-    total = sums.where("word = -1").first()
-    top = sums.where("word <> -1").orderBy(F.col("n").desc(), "word").limit(8 * HEADS).collect()
-    return (total.n if total else 0), [(r.word, r.n) for r in top]
+    top = sums.orderBy(F.col("n").desc(), "word").limit(8 * HEADS).collect()
+    return sums.agg(F.sum("n")).first()[0] or 0, [(r.word, r.n) for r in top]
 
 
 def _slices(texts: list, chars: int = 2_000_000):

@@ -1,5 +1,7 @@
 """The language model's seating and its choice of contexts, against exact recounts."""
 
+import collections
+
 import numpy as np
 import pytest
 
@@ -35,3 +37,14 @@ def test_tables_follow_customers():
     for k in range(lm.SWEEPS):
         t = lm.seat(np.random.default_rng(k), c, t, np.full(5, 0.5), 10.0, 0.8, np.full(5, 2000.0))
     assert (t >= 1).all() and (t <= c).all() and t[3] > 300 and t[4] > t[3]
+
+
+def test_frequent_words_are_those_of_all_texts(spark):
+    # A hot word of each text is frequent where it is; "spread" is rare in each task (under 1e-4) and most frequent overall.
+    rows = [(" ".join([f"filler{k}x{j}" for j in range(22_000)] + ["spread", "spread"] + [f"own{k}"] * 3),) for k in range(4)]
+    want = collections.Counter(lm.Words()[w][0] for (t,) in rows for w in lm.tokens(t))
+    ranked = sorted(want.items(), key=lambda x: (-x[1], x[0]))
+    for n in (1, 4):
+        total, top = lm._frequent(spark.createDataFrame(rows, "text string").repartition(n))
+        assert total == sum(want.values()) and top == ranked[: 8 * lm.HEADS]
+    assert lm._frequent(spark.createDataFrame([], "text string")) == (0, [])
