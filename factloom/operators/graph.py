@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,18 +93,20 @@ def components(edges: DataFrame, *, src: str = "src", dst: str = "dst") -> DataF
             return label
 
 
-def closure(edges: DataFrame, seeds: DataFrame, *, src: str = "src", dst: str = "dst", most_rounds: int = 100) -> DataFrame:
-    """Nodes that links reach from seeds (id), with the number of steps; stops when nothing new comes."""
+def closure(edges: DataFrame, seeds: DataFrame, *, src: str = "src", dst: str = "dst", most_rounds: int | None = None) -> DataFrame:
+    """Nodes that links reach from seeds (id), with the number of steps; stops when nothing new comes. A bound on the
+    steps is an error where it is reached with nodes still to come."""
     links = edges.select(F.col(src).alias("id"), F.col(dst).alias("next")).distinct()
     seen = cut_lineage(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     front = seen
-    for k in range(1, most_rounds + 1):
+    for k in count(1):
         new = front.join(links, "id").select(F.col("next").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(k))
         front = cut_lineage(new)
         if front.isEmpty():
-            break
+            return seen
+        if most_rounds is not None and k > most_rounds:
+            raise ValueError(f"links reach further than {most_rounds} steps from the seeds")
         seen = cut_lineage(seen.unionByName(front))
-    return seen
 
 
 def roots(links: DataFrame, child: str, parent: str, *, most_rounds: int = 32) -> DataFrame:
