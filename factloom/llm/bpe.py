@@ -52,7 +52,7 @@ class ByteBpe:
         self.special = special
         self.pieces: dict[int, bytes] = {i: bytes(back[c] for c in s) for s, i in vocab.items() if s not in special and all(c in back for c in s)}
         self.pieces |= {i: s.encode() for s, i in special.items()}
-        self.proven = self._prove(spec, vocab, special)
+        self.proven = self._prove(spec, vocab, special) and self._reached(vocab, special)
         self._cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         if self.proven:
             ranks = {self.pieces[i]: i for s, i in vocab.items() if s not in special}
@@ -86,9 +86,14 @@ class ByteBpe:
             and len({*vocab} - {*special}) == 256 + len(pairs)
         )
 
+    def _reached(self, vocab: dict[str, int], special: dict[str, int]) -> bool:
+        """Whether the file's own merges, with no look-up of whole strings, make each vocabulary string of its bytes."""
+        merge = Tokenizer.from_file(self.path).model.tokenize
+        return all([t.id for t in merge(s)] == [i] for s, i in vocab.items() if s not in special)
+
     def whole_tokens(self) -> dict[bytes, int]:
-        """The vocabulary strings proven to encode alone, as one pre-token, to their own single id."""
-        return {s: i for s, i in self._ranks.items() if self._core.encode_single_piece(s) == [i]} if self.proven else {}
+        """The vocabulary strings, each proven at load to encode alone, as one pre-token, to its own single id."""
+        return dict(self._ranks) if self.proven else {}
 
     def _plain(self, text: str) -> bytes:
         """Ids of a text without special strings, as little-endian unsigned 32-bit integers."""
