@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import suppress
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the only separators between words in these operators.
@@ -16,9 +16,12 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, else one of our own (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where that is unset, one of our own if
+    driver and executors are one process (tests), else an error, as executors wouldn't see each other's files."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -70,14 +73,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(groups.where(~big), key))
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, *, text: str, id_col: str) -> DataFrame:
-    """The rows of ``docs`` that ``kept`` (doc_id, sha: the text's digest) names. Where it names rows once that occur
-    several times with id and text, one of them is kept."""
-    named = store(kept.select(F.col("doc_id").alias("_kept_id"), F.col("sha").alias("_kept_sha")), "kept")
-    rows = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
-    out = rows.join(named, same, "left_semi")
-    twice = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not twice.isEmpty():
-        out = out.dropDuplicates([id_col, "_sha"])
-    return out.drop("_sha")
+def whole_rows(docs: DataFrame, **columns) -> DataFrame:
+    """``docs`` with each whole row as one struct ``row``, beside ``columns`` (name: column of ``docs``), so that no
+    column of the table can clash with those of an operator; ``select("row.*")`` gives the table back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, *, content: Column, id_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` names (doc_id, sha: the digest of ``content``, every: whether all rows of that
+    id and content stay, or one of them). Columns may have any names, ids may be null or repeat."""
+    key = ["_id", "_sha"]
+    rows = whole_rows(docs, _id=F.col(f"`{id_col}`").cast("long"), _sha=F.unhex(F.sha2(F.coalesce(content, F.lit("")).cast("binary"), 256)))
+    copies = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    named = kept.groupBy(F.col("doc_id").alias("k_id"), F.col("sha").alias("k_sha")).agg(F.max("every").alias("every"))
+    same = lambda a, b: a["_id"].eqNullSafe(b["k_id"]) & (a["_sha"] == b["k_sha"])
+    named = store(named.join(copies, same(copies, named), "left").select("k_id", "k_sha", (~F.col("every") & F.col("n").isNotNull()).alias("one")), "kept")
+    out = rows.join(named, same(rows, named)).select("row", *key, "one")
+    return out.where("not one").select("row.*").unionByName(out.where("one").dropDuplicates(key).select("row.*"))

@@ -117,7 +117,7 @@ def exact_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_
 
 
 def drop_exact_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; one of each group of equal texts."""
-    kept = exact_duplicates(docs, text=text, id_col=id_col).where("kept").select("doc_id", F.unhex("text_sha256").alias("sha"))
-    lowered = docs.withColumn("_text", F.translate(F.col(text), ASCII_UPPER, ASCII_LOWER))
-    return keep_rows(lowered, kept, text="_text", id_col=id_col).drop("_text")
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; one of each group of equal texts,
+    also where a row repeats. An empty table gives no rows."""
+    kept = exact_duplicates(docs, text=text, id_col=id_col).where("kept").select("doc_id", F.unhex("text_sha256").alias("sha"), F.lit(False).alias("every"))
+    return keep_rows(docs, kept, content=F.translate(F.col(f"`{text}`"), ASCII_UPPER, ASCII_LOWER), id_col=id_col)

@@ -404,5 +404,6 @@ def drop_near_duplicates(docs: DataFrame, *, link: int = LINK, text: str = "text
     is the last to stay), and every row without shingles."""
     rows = store(classes(docs, link=link, text=text, id_col=id_col), "classes")
     first = rows.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid", "sha")).alias("r"))
-    kept = first.select("r.doc_id", "r.sha").unionByName(rows.where("class is null").select("doc_id", "sha"))
-    return keep_rows(docs, kept, text=text, id_col=id_col)
+    alone = rows.where("class is null").select("doc_id", "sha", F.lit(True).alias("every")).distinct()
+    kept = first.select("r.doc_id", "r.sha", F.lit(False).alias("every")).unionByName(alone)
+    return keep_rows(docs, kept, content=F.col(f"`{text}`"), id_col=id_col)

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, store
+from .common import fold, store, whole_rows
 
 #: Labelled rows to fit on, at most; taken by a hash of the id, whatever their order.
 SAMPLE = 20_000
@@ -232,16 +232,21 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Scorer
     return Scorer(words, lexicon, weights, bias, model)
 
 
+def _scores(scorer: Scorer, texts: pa.Array) -> np.ndarray:
+    """Scores of texts, of which 500 at a time become Python strings."""
+    done = [scorer([t or "" for t in texts.slice(i, 500).to_pylist()]) for i in range(0, len(texts), 500)]
+    return np.concatenate(done).astype(float) if done else np.zeros(0)
+
+
 def score(docs: DataFrame, scorer: Scorer, *, text: str = "text", id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """doc_id, score in 0 to 1 and predicted of each row. Null text is scored as empty; ids may be null or repeat."""
 
     def run(batches):
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            s = np.concatenate([scorer(texts[i : i + 500]) for i in range(0, len(texts), 500)]).astype(float) if texts else np.zeros(0)
+            s = _scores(scorer, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -251,17 +256,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` not predicted toxic, with all their columns."""
-    scorer = train(docs, labels.where(fold("doc_id", 5) != 0))
-    names = docs.columns
-    schema = docs.schema
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` not predicted toxic, with all their columns, whatever their names. A row's own text
+    decides, so repeated rows and ids do no harm."""
+    pairs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    scorer = train(pairs, labels.where(fold("doc_id", 5) != 0))
 
     def run(batches):
-        k = names.index("text")
         for b in batches:
-            texts = [t or "" for t in b.column(k).to_pylist()]
-            s = np.concatenate([scorer(texts[i : i + 500]) for i in range(0, len(texts), 500)]) if texts else np.zeros(0)
-            yield b.filter(pa.array(s < 0.5))
+            yield b.filter(pa.array(_scores(scorer, b.column(1)) < threshold)).select(["row"])
 
-    return docs.mapInArrow(run, schema)
+    rows = whole_rows(docs, text=F.col(f"`{text}`"))
+    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
