@@ -1,442 +1,573 @@
-"""Language-model scoring by a hierarchical Pitman-Yor model of word n-grams (op 3).
-
-A restaurant seats the words that followed one context. Contexts are a bounded set: the word before, where it is one
-of the most frequent, else its last two bytes. Restaurants whose contexts end in the same byte share a parent, and
-all parents share the restaurant of words without context, whose base is uniform over the vocabulary. A customer who
-opens a table is a customer of the parent. Seating is sampled by Gibbs sweeps, and a word's probability is averaged
-over the sweeps kept.
-
-Layout: everything about a word is in one bucket (words are dealt by hash; counts are summed in each task before the
-shuffle), so one shuffle of counts serves all sweeps; only totals by context, a bounded table, pass between buckets
-after each sweep. Texts are scored where their words' counts are: each task sends, by bucket, how often its documents
-have a word after a context, packed and compressed; a word with more than a bucket's share of all tokens is dealt over
-several buckets, and its counts with it.
+"""Language-model scoring by a hierarchical Pitman-Yor model of word pairs (op 3).
+
+Each word is the context of a restaurant, in which the words that followed it sit; all context restaurants share one
+parent, the restaurant of words without context, whose base is uniform over the vocabulary and one unknown word. A
+customer who opens a table is a customer of the parent.
+
+Seating is sampled by Gibbs. A step takes all customers of one dish out of a restaurant and seats them anew, given
+all others. Table sizes matter to nothing else (a prediction needs customers and tables by dish only), so they are
+summed out, and the step draws the number of tables t of the c customers from its conditional distribution, in
+proportion to S_d(c, t) * (theta + d T)(theta + d (T + 1)) ... (t factors) * p ** t, where S_d are generalised Stirling
+numbers, T the restaurant's other tables and p the parent's probability of the dish to a customer who left it. It is
+exact for up to MOST customers; beyond, ratios of S_d are their saddle-point values, corrected by scaling (``Tables``). Restaurants
+and dishes are drawn at once, each given the others' last state. Probabilities are averaged over the sweeps kept.
+
+Layout: words get integer ids by content (``wordblocks``: exact names, no hashes), the same under any partitioning. A
+word's pairs are in one cell, in which its customers of the parent are counted; a word of more than CELL_TOKENS
+occurrences is dealt over several cells by context, and its parent's tables are drawn on the driver (at most as many
+such words as cells). Totals of contexts, a table that grows with the vocabulary, are summed by shards after each
+sweep and return to the cells that have the context, by position. Documents are scored where their pairs are, in
+whole units of 2 ** -24, so that sums don't depend on order either.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import pairwise
+import functools
+import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, fold, store
+from . import wordblocks
+from .common import Stored, fold, release
+from .wordblocks import gather, squeeze, unsqueeze, wide
 
-#: Words that are contexts by themselves; the rest share those of their endings.
-HEADS = 1024
-START, ENDINGS = 0, 1 << 16
-CONTEXTS = 1 + ENDINGS + HEADS
+#: Ids of the start of a text (a context only) and of its end; words follow.
+START, END = 0, 1
+#: Occurrences of words for each cell.
+CELL_TOKENS = 3_000_000
 #: Sweeps, and how many of the last of them predictions average over.
-SWEEPS, KEPT = 4, 2
-#: Steps in which a sweep seats all customers of a word in a restaurant anew: one by one up to so many, else in equal
-#: parts, within which leaving and joining go by the seating at the part's start.
-STEPS = 32
-#: Discount and strength by level: no context, shared parents, contexts.
-DISCOUNT, STRENGTH = (0.6, 0.75, 0.8), (50.0, 20.0, 10.0)
-#: Distinct words of which a task holds counts before it sends them on.
-MOST_COUNTED = 1_000_000
-END = b"\n"
-_PACK = zstandard.ZstdCompressor(level=1)
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """Words of a text, A-Z lower-cased, and one end."""
-    out = (text or "").encode().lower().split()
-    out.append(END)
-    return out
-
-
-class Words(dict):
-    """64-bit names of words and the codes of their endings, kept for a batch."""
-
-    def __missing__(self, w: bytes) -> tuple[int, int]:
-        out = self[w] = (xxhash.xxh3_64_intdigest(w) >> 1, 1 + int.from_bytes(w[-2:], "little"))
-        return out
-
-
-def counted(texts: list[str | None], heads: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts' tokens in a row: word, context and place of the text."""
-    memo, word, ending, text = Words(), [], [], []
-    for t in texts:
-        found = [memo[w] for w in tokens(t)]
-        word += [w for w, _ in found]
-        ending += [e for _, e in found]
-        text.append(len(found))
-    word, ending = np.array(word, np.int64), np.array(ending, np.int64)
-    at = np.repeat(np.arange(len(texts)), text)
-    first = np.r_[True, at[1:] != at[:-1]] if len(at) else np.zeros(0, bool)
-    names = np.array(sorted(heads), np.int64)
-    own = np.array([heads[x] for x in names.tolist()], np.int64)
-    if len(names) and len(word):
-        i = np.minimum(np.searchsorted(names, word), len(names) - 1)
-        ending = np.where(names[i] == word, 1 + ENDINGS + own[i], ending)
-    context = np.r_[START, ending[:-1]] if len(word) else ending
-    context[first] = START
-    return word, context, at
-
-
-def packed(*columns: np.ndarray) -> bytes:
-    """Whole-number columns of one length; the first is sorted and kept as differences."""
-    out = [np.diff(columns[0], prepend=0), *columns[1:]]
-    raw = b"".join(np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in out)
-    return len(columns[0]).to_bytes(4, "little") + _PACK.compress(raw)
-
-
-def unpacked(data: bytes, n: int) -> list[np.ndarray]:
-    size = int.from_bytes(data[:4], "little")
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4:], max_output_size=max(1, 8 * n * size)), np.uint8).reshape(n, 8, size)
-    out = [np.ascontiguousarray(c.T).view("<i8").ravel() for c in raw]
-    return [np.cumsum(out[0]), *out[1:]]
-
-
-def grouped(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct rows of key columns in order, the group of each row, and sizes."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
-    if len(new):
-        new[0] = True
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
-    starts = np.flatnonzero(new)
-    return [k[order][starts] for k in keys], group, np.diff(np.r_[starts, len(order)])
-
-
-def drawn(rng, n: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """How many of n trials of probability p succeed."""
-    out = (rng.random(len(n)) < p).astype(np.int64)
-    many = np.flatnonzero(n > 1)
-    out[many] = rng.binomial(n[many], np.clip(p[many], 0, 1))
-    return out
-
-
-def seat(rng, c: np.ndarray, t: np.ndarray, prior: np.ndarray, theta: float, d: float, tables: np.ndarray) -> np.ndarray:
-    """A Gibbs sweep over the seating of each dish: tables t of c customers, all of whom are seated anew.
-
-    A customer picked at random leaves: its table closes if it sat alone, which of c customers at t tables with
-    sizes exchangeable is so for the share that sizes drawn from the process give; it then opens a table with weight
-    (theta + d * tables) * prior or joins one with weight c - d * t. ``tables`` are the restaurant's.
-    """
-    t, others = t.copy(), tables - t
-    some = np.flatnonzero(c > 1)
-    for k in range(STEPS):
-        some = some[c[some] > k]
-        if not len(some):
+SWEEPS, KEPT = 3, 2
+#: Strength of the parent and of contexts. Discounts are estimated from counts of counts.
+STRENGTH = (50.0, 0.5)
+#: Customers of a dish up to which Stirling numbers are exact.
+MOST = 1024
+UNIT = 2.0**24
+
+
+class Tables:
+    """The distribution of the number of tables, for a discount d."""
+
+    def __init__(self, d: float, most: int = MOST):
+        self.d, self.most = d, most
+        k = np.arange(most + 2, dtype=float)
+        log = np.full((most + 1, most + 1), -np.inf)
+        log[1, 1] = 0.0
+        with np.errstate(divide="ignore"):
+            for c in range(1, most):
+                stay = np.log(np.maximum(c - d * k[1 : c + 1], 0))
+                log[c + 1, 1 : c + 2] = np.logaddexp(np.r_[log[c, 1 : c + 1] + stay, -np.inf], log[c, : c + 1])
+        self.log = log
+        self._saddle_grid()
+        t = np.arange(1.0, most)
+        row = np.diff(log[most, 1:])
+        self.few = np.r_[0.0, t * (row + np.log(d * t))]
+        self.rest = np.r_[0.0, t * (row - self._saddle(float(most), t))]
+
+    def _saddle_grid(self) -> None:
+        """For mean table sizes m: log g and d log var / d log m of the tilted table sizes, where g(z) = (1 - (1 - z) ** d) / d
+        generates S_d: S_d(c, t) = c! / t! [z ** c] g(z) ** t."""
+        v, d = np.linspace(-18, 60, 6001), self.d
+        logy, z = -np.logaddexp(0, v), 1 / (1 + np.exp(-v))
+        g = -np.expm1(d * logy) / d
+        m = z * np.exp((d - 1) * logy) / g
+        var = m * np.maximum(1 + (1 - d) * np.exp(v) - m, 1e-300)
+        ok = (m > 1 + 1e-6) & (var > 1e-12)
+        self.m = np.log(m[ok] - 1)
+        self.log_g, self.bend = np.log(g[ok]), np.gradient(np.log(var[ok]), np.log(m[ok]))
+
+    def _saddle(self, c: float, t: np.ndarray) -> np.ndarray:
+        """log S(c, t + 1) - log S(c, t) by the saddle point."""
+        at = np.log(np.maximum(c / (t + 0.5) - 1, 1e-12))
+        return np.interp(at, self.m, self.log_g) - np.log(t + 1) - (1 - np.interp(at, self.m, self.bend)) / (2 * t + 1)
+
+    def ratio(self, c: int, t: np.ndarray) -> np.ndarray:
+        """log S(c, t + 1) - log S(c, t) for c > MOST. Where t / c ** d is small, t * log(d t S(c, t + 1) / S(c, t)) is a
+        function of it; elsewhere t times what the saddle point leaves is. Both functions are read off row MOST."""
+        k = t * (self.most / c) ** self.d
+        few = np.interp(k, np.arange(self.most), self.few) / t - np.log(self.d * t)
+        return np.where(k < 64, few, self._saddle(c, t) + np.interp(k, np.arange(self.most), self.rest, right=0.0) / t)
+
+    def draw(self, rng, c: np.ndarray, theta: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Tables of c customers each: ``theta`` is the restaurant's strength with d for each table of other dishes."""
+        t = np.minimum(c, 1)
+        some = np.flatnonzero((c > 1) & (c <= self.most))
+        order = some[np.argsort(c[some], kind="stable")]
+        sizes, at = c[order], 0
+        logp = np.log(p)
+        while at < len(order):
+            low = int(sizes[at])
+            high = min(self.most, low if low < 32 else int(low * 1.1))
+            stop = min(int(np.searchsorted(sizes, high, "right")), at + max(1, 1_000_000 // high))
+            i = order[at:stop]
+            k = np.arange(high)
+            x = np.cumsum(np.log(theta[i, None] + self.d * k), 1) + logp[i, None] * (k + 1.0) + self.log[c[i]][:, 1 : high + 1]
+            x = np.cumsum(np.exp(x - x.max(1, keepdims=True)), 1)
+            t[i] = np.minimum((x < rng.random(len(i))[:, None] * x[:, -1:]).sum(1) + 1, c[i])
+            at = stop
+        for i in np.flatnonzero(c > self.most).tolist():
+            t[i] = self._draw_many(rng, int(c[i]), float(theta[i]), float(logp[i]))
+        return t
+
+    def _draw_many(self, rng, c: int, theta: float, logp: float) -> int:
+        d = self.d
+
+        def rise(t):  # log of the weight of t + 1 tables over that of t
+            return self.ratio(c, t) + np.log(theta + d * t) + logp
+
+        low, high = 1, c
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if rise(np.array(float(mid))) > 0 else (low, mid)
+        steep = float(rise(np.array(float(low))) - rise(np.array(low + 1.0)))
+        width = int(12 / math.sqrt(max(steep, 1e-12))) + 20
+        t = np.arange(max(1, low - width), min(c, low + width) + 1, dtype=float)
+        x = np.r_[0.0, np.cumsum(rise(t[:-1]))]
+        x = np.cumsum(np.exp(x - x.max()))
+        return int(t[min(int(np.searchsorted(x, rng.random() * x[-1])), len(t) - 1)])
+
+
+@functools.lru_cache(maxsize=4)
+def tables_of(d: float) -> Tables:
+    return Tables(d)
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts in a row, A-Z lower-cased, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = split.flatten()
+    some = pc.not_equal(words, "")
+    at = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))])
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[at]
+    return words.filter(some), np.diff(before)
+
+
+def _split(b: pa.RecordBatch):
+    """``doc_id``, ``train`` and text rows for ``wordblocks.blocks``: all occurrences and those to learn from."""
+    words, counts = words_of(b.column(2))
+    train = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = b.column(0)
+    return words, counts, [np.ones(len(counts)), train], [pc.fill_null(ids, 0).to_numpy().view(np.uint64), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), train]
+
+
+_NAMED = "block long, shard int, ids binary, hot binary, n_words long, n_tokens long"
+
+
+def _names(shards: int, cell_tokens: int):
+    """Ids of a shard's words, most frequent first, for each block that has them; words of more than a cell's share."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        s, parts = key[0].as_py(), [wordblocks.unpack_words(x) for x in rows.column("words").to_pylist()]
+        n, train = (np.concatenate(x).astype(np.int64) for x in zip(*map(unsqueeze, rows.column("n").to_pylist()), strict=True))
+        coded = pa.concat_arrays(parts).dictionary_encode()
+        at, size = coded.indices.to_numpy(), len(coded.dictionary)
+        n, train = np.bincount(at, n, size).astype(np.int64), np.bincount(at, train, size).astype(np.int64)
+        by_content = np.empty(size, np.int64)
+        by_content[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(size)
+        rank = np.empty(size, np.int64)
+        rank[np.lexsort((by_content, -n))] = np.arange(size)
+        ids = 2 + s + shards * rank
+        ends = np.cumsum([len(p) for p in parts])
+        each = [squeeze(i, c) for i, c in zip(np.split(ids[at], ends[:-1]), np.split(train[at], ends[:-1]), strict=True)]
+        hot = np.flatnonzero(n > cell_tokens)
+        hot = hot[np.argsort(ids[hot])]
+        blocks = rows.column("block").to_pylist()
+        stats = (-1, s, None, squeeze(ids[hot], n[hot], train[hot]), int((train > 0).sum()), int(train.sum()))
+        out = [*((b, s, e, None, 0, 0) for b, e in zip(blocks, each, strict=True)), stats]
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _NAMED.split(", ")])
+
+    return run
+
+
+class Cells:
+    """Where pairs go: by word, and words of more than a cell's share by context too."""
+
+    def __init__(self, cells: int, hot: list[tuple[int, int, int]], cell_tokens: int):
+        self.cells = cells
+        self.hot = np.array([w for w, _, _ in hot], np.int64)
+        self.train = np.array([n for _, _, n in hot], np.int64)
+        self.wide = np.array([-(-n // cell_tokens) for _, n, _ in hot], np.int64)
+        #: Ends of texts to learn from.
+        self.ends = 0
+        self.first = cells + np.cumsum(self.wide) - self.wide
+
+    def find(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of words among the hot ones, and whether they are."""
+        if not len(self.hot):
+            return np.zeros(len(w), np.int64), np.zeros(len(w), bool)
+        i = np.minimum(np.searchsorted(self.hot, w), len(self.hot) - 1)
+        return i, self.hot[i] == w
+
+    def of(self, w: np.ndarray, u: np.ndarray) -> np.ndarray:
+        def mix(x):
+            return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64)
+
+        i, hot = self.find(w)
+        out = mix(w) % self.cells
+        return np.where(hot, self.first[i] + mix(u) % self.wide[i], out) if hot.any() else out
+
+
+def _deltas(w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs sorted by both, as differences."""
+    dw = np.diff(w, prepend=0)
+    return dw, np.where(np.r_[True, dw[1:] != 0], u, np.diff(u, prepend=0)) if len(w) else u
+
+
+def _undeltas(dw: np.ndarray, du: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    dw, du = dw.astype(np.int64), du.astype(np.int64)
+    if not len(dw):
+        return dw, du
+    total, starts = np.cumsum(du), np.flatnonzero(np.r_[True, dw[1:] != 0])
+    before = np.r_[0, total[starts[1:] - 1]]
+    return np.cumsum(dw), total - np.repeat(before, np.diff(np.r_[starts, len(dw)]))
+
+
+_POSTED = "cell long, block long, data binary"
+
+
+def _post(cells: Cells, n_train: int, n_words: int):
+    """A block's pairs by cell, with the places of their documents; and, as cell -1 - block, its documents with what
+    needs no context: doc_id, whether it is null, n_tokens, n_known and base score."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = left.column("block")[0].as_py()
+        counts, codes = wide(unsqueeze(left.column("places")[0].as_py()))
+        doc_id, known_id, train = unsqueeze(left.column("rows")[0].as_py())
+        found = sorted(zip(right.column("shard").to_pylist(), right.column("ids").to_pylist(), strict=True))
+        named = [unsqueeze(x) for _, x in found]
+        ids, seen = (np.concatenate([x[i] for x in named]).astype(np.int64) if named else np.zeros(0, np.int64) for i in (0, 1))
+        n_words_here = len(ids)
+        id_of = np.r_[ids, END, START]
+        seen = np.r_[seen, cells.ends]
+        size = counts + 1
+        ends = np.cumsum(size) - 1
+        total = int(size.sum())
+        w = np.full(total, n_words_here)
+        inner = np.ones(total, bool)
+        inner[ends] = False
+        w[inner] = codes
+        u = np.r_[n_words_here + 1, w[:-1]]
+        u[ends - counts] = n_words_here + 1
+        doc = np.repeat(np.arange(len(counts)), size)
+        base = np.bincount(doc, np.log10((seen[w] + 1) / (n_train + n_words + 1)), len(counts))
+        known = np.bincount(doc, seen[w] > 0, len(counts)).astype(np.int64)
+        key = w * (n_words_here + 2) + u
+        order = np.argsort(key, kind="stable")
+        key, doc = key[order], doc[order]
+        new_pair = np.r_[True, key[1:] != key[:-1]]
+        at = np.flatnonzero(new_pair | np.r_[True, doc[1:] != doc[:-1]])
+        n, pdoc = np.diff(np.r_[at, total]), doc[at]
+        first = np.flatnonzero(new_pair[at])
+        posts = np.diff(np.r_[first, len(at)])
+        pair = key[at[first]]
+        pw, pu = id_of[pair // (n_words_here + 2)], id_of[pair % (n_words_here + 2)]
+        learnt = np.add.reduceat(n * (train[pdoc] > 0), first)
+        cell = cells.of(pw, pu)
+        order = np.lexsort((pu, pw, cell))
+        cell, pw, pu, learnt, posts_by = cell[order], pw[order], pu[order], learnt[order], posts[order]
+        places = gather(first[order], posts_by)
+        n, pdoc = n[places], pdoc[places]
+        lo = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        hi, post_at = np.r_[lo[1:], len(cell)], np.r_[0, np.cumsum(posts_by)]
+        out = [(-1 - block, block, squeeze(doc_id, known_id, size, known, base.view(np.uint64)))]
+        for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+            x, y = post_at[a], post_at[b]
+            out.append((int(cell[a]), block, squeeze(*_deltas(pw[a:b], pu[a:b]), learnt[a:b], posts_by[a:b], pdoc[x:y], n[x:y])))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["cell", "block", "data"])
+
+    return run
+
+
+_CELL = "cell long, pairs binary, posts binary, once long, twice long, root_once long, root_twice long"
+
+
+def _build(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """All pairs of a cell, sorted, with counts to learn from; its postings by block; counts of counts."""
+    cell = key[0].as_py()
+    if cell < 0:
+        row = (cell, None, rows.column("data")[0].as_py(), 0, 0, 0, 0)
+    else:
+        blocks, parts = rows.column("block").to_numpy(), [unsqueeze(x) for x in rows.column("data").to_pylist()]
+        found = [(*_undeltas(p[0], p[1]), p[2].astype(np.int64)) for p in parts]
+        w, u, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((u, w))
+        sw, su = w[order], u[order]
+        new = np.r_[True, (sw[1:] != sw[:-1]) | (su[1:] != su[:-1])]
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(new) - 1
+        sw, su = sw[new], su[new]
+        c = np.bincount(at, c, len(sw)).astype(np.int64)
+        sizes = np.array([len(p[2]) for p in parts], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        step = np.diff(at, prepend=0)
+        step[starts] = at[starts]
+        posts = squeeze(blocks.view(np.uint64), sizes, step, *(np.concatenate([p[i] for p in parts]) for i in (3, 4, 5)))
+        contexts = np.bincount(np.cumsum(np.r_[False, sw[1:] != sw[:-1]])[c > 0])
+        row = (cell, squeeze(*_deltas(sw, su), c), posts, *(int((x == k).sum()) for x in (c, contexts) for k in (1, 2)))
+    kinds = (pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4)
+    return pa.table([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in _CELL.split(", ")])
+
+
+class Cell:
+    """Pairs of a cell, sorted by word, then context: words, the pairs' places among them and among contexts."""
+
+    def __init__(self, pairs: bytes):
+        dw, du, c = unsqueeze(pairs)
+        self.w, self.u = _undeltas(dw, du)
+        self.c = c.astype(np.int64)
+        new = np.r_[True, self.w[1:] != self.w[:-1]]
+        self.words, self.word_of = self.w[new], np.cumsum(new) - 1
+        self.contexts, self.context_of = np.unique(self.u, return_inverse=True)
+
+    def customers(self, t: np.ndarray) -> np.ndarray:
+        """The words' customers in the parent."""
+        return np.bincount(self.word_of, t, len(self.words)).astype(np.int64)
+
+
+class Parent:
+    """What cells need of the parent: its totals, and the customers and tables of hot words."""
+
+    def __init__(self, d: tuple[float, float], strength: tuple[float, float], n_words: int, customers: int, tables: int, c: np.ndarray, t: np.ndarray):
+        self.d, self.strength, self.base = d, strength, 1.0 / (n_words + 1)
+        self.customers, self.tables, self.c, self.t = customers, tables, c, t
+
+    def of(self, c: np.ndarray, t: np.ndarray, gone: int = 0) -> np.ndarray:
+        """The probability of dishes of c customers at t tables, to one of ``gone`` customers who left."""
+        c = c - np.minimum(gone, c)
+        own = np.maximum(c - self.d[0] * np.minimum(t, c), 0.0)
+        return (own + (self.strength[0] + self.d[0] * self.tables) * self.base) / (self.strength[0] + self.customers - gone)
+
+    def dishes(self, cell: Cell, cells: Cells, t2: np.ndarray, t0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of a cell's words in the parent."""
+        i, hot = cells.find(cell.words)
+        c0 = cell.customers(t2)
+        return (np.where(hot, self.c[i], c0), np.where(hot, self.t[i], t0)) if hot.any() else (c0, t0)
+
+
+_STATE = "cell long, shard int, data binary, customers long, tables long, hot binary"
+
+
+def _state(cell_id: int, cell: Cell, cells: Cells, t2: np.ndarray, t0: np.ndarray, shards: int) -> pa.Table:
+    """Tables of a cell (shard -1); its share of customers and tables of each context, for the shards that sum them."""
+    _, hot = cells.find(cell.words)
+    c0 = cell.customers(t2)
+    rows = [(cell_id, -1, squeeze(t2, t0), int(c0.sum()), int(t0[~hot].sum()), squeeze(cell.words[hot], c0[hot]) if hot.any() else None)]
+    n = len(cell.contexts)
+    c, t = (np.bincount(cell.context_of, x, n).astype(np.int64) for x in (cell.c, t2))
+    shard = cell.contexts % shards
+    for s in range(shards):
+        own = shard == s
+        if own.any():
+            rows.append((cell_id, s, squeeze(np.diff(cell.contexts[own], prepend=0), c[own], t[own]), 0, 0, None))
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+    return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _STATE.split(", ")])
+
+
+def _totals(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """Customers and tables of a shard's contexts, over all cells, for each cell in its order."""
+    parts = [unsqueeze(x) for x in rows.column("data").to_pylist()]
+    u = [np.cumsum(p[0].astype(np.int64)) for p in parts]
+    _, at = np.unique(np.concatenate(u), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([p[i] for p in parts])).astype(np.int64)[at] for i in (1, 2)]
+    ends = np.cumsum([len(x) for x in u])[:-1]
+    data = [squeeze(c, t) for c, t in zip(np.split(sums[0], ends), np.split(sums[1], ends), strict=True)]
+    return pa.table([rows.column("cell"), pa.array([key[0].as_py()] * len(data), pa.int32()), pa.array(data, pa.binary())], names=["cell", "shard", "data"])
+
+
+def _context_totals(cell: Cell, found: dict[int, bytes], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    c, t = np.zeros(len(cell.contexts), np.int64), np.zeros(len(cell.contexts), np.int64)
+    shard = cell.contexts % shards
+    for s, data in found.items():
+        c[shard == s], t[shard == s] = unsqueeze(data)
+    return c, t
+
+
+def _by_shard(rows: pa.Table, sweep: int) -> dict[int, bytes]:
+    return {s: d for k, s, d in zip(*(rows.column(x).to_pylist() for x in ("sweep", "shard", "data")), strict=True) if k == sweep}
+
+
+def sweep_cell(rng, cell: Cell, cells: Cells, parent: Parent, t2, t0, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A Gibbs sweep over a cell: each dish of each context, then each dish of the parent. ``tables``: by context."""
+    (d0, d2), (strength0, strength2) = parent.d, parent.strength
+    c0, own0 = parent.dishes(cell, cells, t2, t0)
+    p = parent.of(c0, own0, gone=1)[cell.word_of]
+    t2 = tables_of(d2).draw(rng, cell.c, strength2 + d2 * np.maximum(tables[cell.context_of] - t2, 0), p)
+    c0 = cell.customers(t2)
+    t0 = tables_of(d0).draw(rng, c0, strength0 + d0 * np.maximum(parent.tables - t0, 0).astype(float), np.full(len(c0), parent.base))
+    return t2, t0
+
+
+def predict(cell: Cell, cells: Cells, kept: list[tuple]) -> np.ndarray:
+    """The mean probability of each pair over sweeps kept: (parent, t2, t0, customers and tables by context)."""
+    total = np.zeros(len(cell.w))
+    for parent, t2, t0, c, t in kept:
+        d, strength = parent.d[1], parent.strength[1]
+        p = parent.of(*parent.dishes(cell, cells, t2, t0))[cell.word_of]
+        own, room = np.maximum(cell.c - d * t2, 0), (strength + d * t) / (strength + c)
+        total += own / (strength + c[cell.context_of]) + room[cell.context_of] * p
+    return total / len(kept)
+
+
+def _partial(posts: bytes, logp: np.ndarray) -> pa.Table:
+    blocks, sizes, step, n_posts, doc, n = wide(unsqueeze(posts))
+    owner = np.repeat(np.arange(len(blocks)), sizes)
+    total = np.cumsum(step)
+    starts = np.cumsum(sizes) - sizes
+    at = total - np.repeat(np.r_[0, total[starts[1:] - 1]], sizes)
+    units = np.rint(-logp * UNIT).astype(np.int64)
+    amount = np.repeat(units[at], n_posts) * n
+    block = np.repeat(owner, n_posts)
+    key = block * (int(doc.max()) + 1) + doc
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sums, doc, block = np.add.reduceat(amount[order], new), doc[order][new], block[order][new]
+    ends = np.searchsorted(block, np.arange(len(blocks) + 1))
+    data = [squeeze(np.diff(doc[a:b], prepend=0), sums[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return pa.table({"block": pa.array(blocks, pa.int64()), "data": pa.array(data, pa.binary())})
+
+
+_SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
+    doc_id, known_id, size, known, base = unsqueeze(left.column("posts")[0].as_py())
+    score = np.zeros(len(size), np.int64)
+    for data in right.column("data").to_pylist():
+        at, sums = wide(unsqueeze(data))
+        score[np.cumsum(at)] += sums
+    ids = pa.array(doc_id.astype(np.uint64).view(np.int64), pa.int64(), mask=known_id == 0)
+    return pa.table([ids, pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base.astype(np.uint64).view(np.float64)), pa.array(score / -UNIT)], names=[x.split()[0] for x in _SCORED.split(", ")])
+
+
+class Model:
+    """Cells of ``learn`` with the seatings kept."""
+
+    def __init__(self, cells: Cells, built: Stored, n_train: int, n_words: int, shards: int):
+        self.cells, self.built, self.n_train, self.n_words, self.shards = cells, built, n_train, n_words, shards
+        self.kept: list[tuple[Parent, Stored, Stored]] = []
+
+    def parent(self, state: Stored, d, strength, sweep: int) -> Parent:
+        """The parent's totals of a sweep's state; hot words' tables are drawn here, as their customers are in
+        several cells."""
+        rows = state.read().where("shard = -1")
+        customers, tables = rows.agg(F.sum("customers"), F.sum("tables")).first()
+        c = np.zeros(len(self.cells.hot), np.int64)
+        for r in rows.where("hot is not null").select("hot").collect():
+            w, n = wide(unsqueeze(r.hot))
+            np.add.at(c, np.searchsorted(self.cells.hot, w), n)
+        theta = strength[0] + d[0] * float(tables or 0)
+        t = tables_of(d[0]).draw(np.random.default_rng([sweep, 1]), c, np.full(len(c), theta), np.full(len(c), 1.0 / (self.n_words + 1)))
+        return Parent(d, strength, self.n_words, int(customers or 0), int(tables or 0) + int(t.sum()), c, t)
+
+
+def learn(docs: DataFrame, train, *, text: str = "text", id_col: str = "doc_id", cell_tokens: int = CELL_TOKENS, block_bytes: int = wordblocks.BLOCK_BYTES, sweeps: int = SWEEPS, kept: int = KEPT, strength=STRENGTH) -> Model:
+    """Pairs of all texts of ``docs``, and seatings sampled of those of rows for which ``train`` (a column) holds."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    shards = wordblocks.shards_for(docs, text)
+    blocks = Stored(wordblocks.blocks(rows, _split, shards, block_bytes=block_bytes), "blocks")
+    words = blocks.read().where("shard >= 0").select("block", "shard", "words", "n")
+    named = Stored(words.groupBy("shard").applyInArrow(_names(shards, cell_tokens), _NAMED), "names")
+    ends = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("train").alias("learnt")).first()
+    all_tokens = (blocks.read().agg(F.sum("n_places")).first()[0] or 0) + ends.n
+    stats = named.read().where("block = -1").select("hot", "n_words", "n_tokens").collect()
+    hot = [(END, ends.n, ends.learnt)] if ends.n > cell_tokens else []
+    hot += [h for r in stats for h in zip(*(x.tolist() for x in wide(unsqueeze(r.hot))), strict=True)]
+    n_words, n_train = sum(r.n_words for r in stats) + (ends.learnt > 0), sum(r.n_tokens for r in stats) + ends.learnt
+    cells = Cells(max(8, -(-all_tokens // cell_tokens)), sorted(hot), cell_tokens)
+    cells.ends = ends.learnt
+
+    texts = blocks.read().where("shard = -1").select("block", "places", "rows")
+    ids = named.read().where("block >= 0").select("block", "shard", "ids")
+    posted = texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_post(cells, n_train, n_words), _POSTED)
+    built = Stored(posted.groupBy("cell").applyInArrow(_build, _CELL), "cells")
+    blocks.drop()
+    named.drop()
+    release(spark)
+
+    context_shards = max(1, cells.cells // 8)
+    model = Model(cells, built, n_train, n_words, context_shards)
+    once, twice, root_once, root_twice = (x or 0 for x in built.read().agg(*map(F.sum, ("once", "twice", "root_once", "root_twice"))).first())
+    d = tuple(min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5 for a, b in ((root_once, root_twice), (once, twice)))
+    some = built.read().where("cell >= 0").select("cell", "pairs")
+
+    def start(batches):
+        for b in batches:
+            for name, pairs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                cell = Cell(pairs)
+                t2 = np.minimum(cell.c, 1)
+                yield from _state(name, cell, cells, t2, np.minimum(cell.customers(t2), 1), context_shards).to_batches()
+
+    def summed(state: Stored) -> Stored:
+        sums = state.read().where("shard >= 0").select("cell", "shard", "data").groupBy("shard").applyInArrow(_totals, "cell long, shard int, data binary")
+        return Stored(sums, "totals")
+
+    state = Stored(some.mapInArrow(start, _STATE), "seats")
+    for k in range(sweeps + 1):
+        parent, totals = model.parent(state, d, strength, k), summed(state)
+        if k > sweeps - kept or k == sweeps:
+            model.kept.append((parent, state, totals))
+        if k == sweeps:
             break
-        n, tt = c[some], t[some].astype(float)
-        m = np.where(n > STEPS, (k + 1) * n // STEPS - k * n // STEPS, 1)
-        # Of t tables of a Pitman-Yor seating of c customers, the expected number with one customer: exact where t is 1,
-        # c - 1 or c, and in the limit of large c.
-        singles = np.where(tt == n, tt, (tt - 1) * (d + (1 - d) * tt / (n - 1)))
-        gone = np.minimum(drawn(rng, m, singles / n), tt)
-        tt -= gone
-        new = (theta + d * np.maximum(others[some] + tt, 0)) * prior[some]
-        tt += drawn(rng, m, new / (new + np.maximum(n - m - d * tt, 0)))
-        t[some] = np.clip(tt, 1, n).astype(np.int64)
-    return t
-
-
-class Bucket:
-    """The counts of a bucket's words, sorted: (word, context) pairs, (word, parent) pairs and words."""
-
-    def __init__(self, word, context, customers):
-        self.word, self.context, self.c2 = word, context, customers
-        (self.w1, self.p1), self.up1, _ = grouped(word, parent_of(context))
-        (self.w0,), self.up0, _ = grouped(self.w1)
-        word_of = self.up0[self.up1]
-        self.key2, self.key1 = word_of * CONTEXTS + context, self.up0 * PARENTS + self.p1
-        self.count = np.bincount(word_of, customers, len(self.w0))
-
-    def above(self, t2, t1):
-        """Customers of the parents, who are their children's tables."""
-        return np.bincount(self.up1, t2, len(self.w1)).astype(np.int64), np.bincount(self.up0, t1, len(self.w0)).astype(np.int64)
-
-
-PARENTS = 257 + HEADS
-
-
-def parent_of(context: np.ndarray) -> np.ndarray:
-    """The parent of a context: the start, the last byte of an ending, or a frequent word's own (it has one child)."""
-    ending = context - 1
-    return np.where(context == START, 0, np.where(context > ENDINGS, 257 + context - ENDINGS - 1, 1 + np.where(ending < 256, ending, ending >> 8)))
-
-
-class Totals:
-    """Customers and tables of each restaurant, by level; bounded tables, summed over all buckets."""
-
-    def __init__(self, rows=()):
-        self.c = [np.zeros(1), np.zeros(PARENTS), np.zeros(CONTEXTS)]
-        self.t = [np.zeros(1), np.zeros(PARENTS), np.zeros(CONTEXTS)]
-        self.words = 0
-        for level, at, c, t in rows:
-            if level < 0:
-                self.words = c
-            else:
-                self.c[level][at], self.t[level][at] = c, t
-
-    def new_table(self, level: int, at) -> np.ndarray:
-        """The probability that the next customer asks the parent, and the share of a customer's weight."""
-        d, theta = DISCOUNT[level], STRENGTH[level]
-        return (theta + d * self.t[level][at]) / (theta + self.c[level][at])
-
-    def seated(self, level: int, at, c, t) -> np.ndarray:
-        return np.maximum(c - DISCOUNT[level] * t, 0) / (STRENGTH[level] + self.c[level][at])
-
-
-def sweep(b: Bucket, t, z: Totals, rng):
-    """Seat a bucket's customers anew, from the contexts up; totals of other buckets are those of the last sweep."""
-    t2, t1, t0 = t
-    base = 1.0 / (z.words + 1)
-    c1, c0 = b.above(t2, t1)
-    p0 = z.seated(0, 0, c0, t0) + z.new_table(0, 0) * base
-    p1 = z.seated(1, b.p1, c1, t1) + z.new_table(1, b.p1) * p0[b.up0]
-    t2 = seat(rng, b.c2, t2, p1[b.up1], STRENGTH[2], DISCOUNT[2], z.t[2][b.context])
-    c1, _ = b.above(t2, t1)
-    t1 = seat(rng, c1, np.minimum(t1, c1), p0[b.up0], STRENGTH[1], DISCOUNT[1], z.t[1][b.p1])
-    _, c0 = b.above(t2, t1)
-    t0 = seat(rng, c0, np.minimum(t0, c0), np.full(len(c0), base), STRENGTH[0], DISCOUNT[0], np.full(len(c0), z.t[0][0]))
-    return t2, t1, t0
-
-
-def totals_of(b: Bucket, t) -> list[tuple[int, int, int, int]]:
-    t2, t1, t0 = t
-    c1, c0 = b.above(t2, t1)
-    out = [(-1, 0, len(b.w0), 0), (0, 0, int(c0.sum()), int(t0.sum()))]
-    for level, at, c, n, size in ((1, b.p1, c1, t1, PARENTS), (2, b.context, b.c2, t2, CONTEXTS)):
-        cs, ts = np.bincount(at, c, size), np.bincount(at, n, size)
-        out += [(level, int(i), int(cs[i]), int(ts[i])) for i in np.flatnonzero(cs)]
-    return out
-
-
-def with_customers(b: Bucket, kept: list) -> list:
-    """Tables of kept sweeps with the customers they make of parents."""
-    return [(*t, *b.above(t[0], t[1])) for t in kept]
-
-
-def log_probabilities(b: Bucket, kept: list, totals: list[Totals], word, context) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of the probability of words after contexts, averaged over kept sweeps (``with_customers``); and the
-    words' training counts."""
-
-    def find(keys, wanted):
-        at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-        return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
-
-    i0, has0 = find(b.w0, word)
-    parent = parent_of(context)
-    i1, has1 = find(b.key1, i0 * PARENTS + parent)
-    i2, has2 = find(b.key2, i0 * CONTEXTS + context)
-    has1, has2 = has1 & has0, has2 & has0
-    total = np.zeros(len(word))
-    for (t2, t1, t0, c1, c0), z in zip(kept, totals, strict=True):
-
-        def own(level, at, i, has, c, t, z=z):
-            return np.where(has, z.seated(level, at, c[i], t[i]), 0.0) if len(c) else np.zeros(len(word))
-
-        p = own(0, 0, i0, has0, c0, t0) + z.new_table(0, 0) / (z.words + 1)
-        p = own(1, parent, i1, has1, c1, t1) + z.new_table(1, parent) * p
-        total += own(2, context, i2, has2, b.c2, t2) + z.new_table(2, context) * p
-    return np.log10(total / max(1, len(kept))), np.where(has0, b.count[i0], 0) if len(b.count) else np.zeros(len(word))
-
-
-_STATE = "bucket long, pairs binary, tables array<binary>, totals array<struct<level:int,at:int,c:long,t:long>>"
 
+        held = _held(state, totals, k)
+        new = Stored(some.groupBy("cell").cogroup(held.groupBy("cell")).applyInArrow(_again(parent, k, cells, context_shards), _STATE), "seats")
+        if not model.kept or model.kept[-1][1] is not state:
+            state.drop()
+            totals.drop()
+        state = new
+        release(spark)
+    return model
 
-def _state_row(bucket, pairs, tables, totals):
-    kind = pa.list_(pa.struct([("level", pa.int32()), ("at", pa.int32()), ("c", pa.int64()), ("t", pa.int64())]))
-    rows = [[dict(zip(("level", "at", "c", "t"), r, strict=True)) for r in totals]]
-    return pa.table({"bucket": pa.array([bucket], pa.int64()), "pairs": pa.array([pairs], pa.binary()), "tables": pa.array([tables], pa.list_(pa.binary())), "totals": pa.array(rows, kind)})
 
+def _again(parent: Parent, k: int, cells: Cells, shards: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        name, cell = left.column("cell")[0].as_py(), Cell(left.column("pairs")[0].as_py())
+        found = _by_shard(right, k)
+        t2, t0 = wide(unsqueeze(found.pop(-1)))
+        _, tables = _context_totals(cell, found, shards)
+        return _state(name, cell, cells, *sweep_cell(np.random.default_rng([k, name]), cell, cells, parent, t2, t0, tables), shards)
 
-def _read_tables(data: bytes, b: Bucket):
-    flat = unpacked(data, 1)[0]
-    return flat[: len(b.word)], flat[len(b.word) : len(b.word) + len(b.w1)], flat[len(b.word) + len(b.w1) :]
+    return run
 
 
-def _collect_totals(state: DataFrame) -> Totals:
-    rows = state.select(F.explode("totals").alias("x")).groupBy("x.level", "x.at").agg(F.sum("x.c"), F.sum("x.t")).collect()
-    return Totals([tuple(r) for r in rows])
+def _held(state: Stored, totals: Stored, sweep: int) -> DataFrame:
+    rows = state.read().where("shard = -1").select("cell", "shard", "data").unionByName(totals.read())
+    return rows.withColumn("sweep", F.lit(sweep))
 
 
-def _frequent(docs: DataFrame) -> tuple[int, list[tuple[int, int]]]:
-    """All training tokens, and the most frequent words with their counts over all texts. Tasks send the counts of all
-    their words, in parts of bounded size."""
+def scores(model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score and train_tokens of each row that ``learn`` took."""
+    cells, shards, parents = model.cells, model.shards, [p for p, _, _ in model.kept]
+    held = functools.reduce(DataFrame.unionByName, [_held(s, t, i) for i, (_, s, t) in enumerate(model.kept)])
 
-    def sent(n):
-        return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.int64()), pa.array(n.values(), pa.int64())], names=["word", "n"])
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        cell, kept = Cell(left.column("pairs")[0].as_py()), []
+        for i, parent in enumerate(parents):
+            found = _by_shard(right, i)
+            t2, t0 = wide(unsqueeze(found.pop(-1)))
+            kept.append((parent, t2, t0, *_context_totals(cell, found, shards)))
+        return _partial(left.column("posts")[0].as_py(), np.log10(predict(cell, cells, kept)))
 
-    def run(batches):
-        n: Counter[int] = Counter()
-        for b in batches:
-            memo = Words()
-            for t in b.column(0).to_pylist():
-                n.update([memo[w][0] for w in tokens(t)])
-            if len(n) > MOST_COUNTED:
-                yield sent(n)
-                n.clear()
-        yield sent(n)
-
-    sums = store(docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
-    top = sums.orderBy(F.col("n").desc(), "word").limit(8 * HEADS).collect()
-    return sums.agg(F.sum("n")).first()[0] or 0, [(r.word, r.n) for r in top]
-
-
-def _slices(texts: list, chars: int = 2_000_000):
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars:
-            yield slice(at, i + 1)
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
-
-
-def fit(docs: DataFrame, *, text: str = "text", bucket_tokens: int = 4_000_000, sweeps: int = SWEEPS, kept: int = KEPT):
-    """Sample seatings of the model of all texts of ``docs``. Returns what ``score`` takes. Null texts are empty ones:
-    an end after a start."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(text).alias("text"))
-    total, top = _frequent(texts)
-    heads = {w: i for i, (w, _) in enumerate(top[:HEADS])}
-    buckets = max(8, -(-total // bucket_tokens))
+    built = model.built.read()
+    some = built.where("cell >= 0").select("cell", "pairs", "posts")
+    partial = some.groupBy("cell").cogroup(held.groupBy("cell")).applyInArrow(judge, "block long, data binary")
+    docs = built.where("cell < 0").select((-1 - F.col("cell")).alias("block"), "posts")
+    out = docs.groupBy("block").cogroup(partial.groupBy("block")).applyInArrow(_finish, _SCORED)
+    return out.withColumn("train_tokens", F.lit(model.n_train).cast("long"))
 
-    def count(batches):
-        for b in batches:
-            rows = b.column(0).to_pylist()
-            for part in _slices(rows):
-                word, context, _ = counted(rows[part], heads)
-                (word, context), _, n = grouped(word, context)
-                where = word % buckets
-                order = np.argsort(where, kind="stable")
-                cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-                at = [(k, order[x:y]) for k, (x, y) in enumerate(pairwise(cuts)) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in at], pa.int64()), pa.array([packed(word[i], context[i], n[i]) for _, i in at], pa.binary())], names=["bucket", "data"])
-
-    def start(key: tuple[pa.Scalar, ...], batch: pa.Table) -> pa.Table:
-        word, context, n = (np.concatenate(x) for x in zip(*(unpacked(d, 3) for d in batch.column("data").to_pylist()), strict=True))
-        (word, context), group, _ = grouped(word, context)
-        c = np.bincount(group, n, len(word)).astype(np.int64)
-        b = Bucket(word, context, c)
-        t = np.ones(len(word), np.int64), np.ones(len(b.w1), np.int64), np.ones(len(b.w0), np.int64)
-        return _state_row(key[0].as_py(), packed(word, context, c), [packed(np.concatenate(t))], totals_of(b, t))
-
-    state = Stored(texts.mapInArrow(count, "bucket long, data binary").groupBy("bucket").applyInArrow(start, _STATE), "seats")
-    seen = []
-    for k in range(sweeps):
-        z = _collect_totals(state.read())
-        held = spark.sparkContext.broadcast(z)
-        keep = k > sweeps - kept
-
-        def again(batches, held=held, k=k, keep=keep):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    b = Bucket(*unpacked(row["pairs"], 3))
-                    t = sweep(b, _read_tables(row["tables"][0], b), held.value, np.random.default_rng([k, row["bucket"]]))
-                    tables = [packed(np.concatenate(t)), *(row["tables"] if keep else [])]
-                    yield from _state_row(row["bucket"], row["pairs"], tables, totals_of(b, t)).to_batches()
-
-        new = Stored(state.read().select("bucket", "pairs", "tables").mapInArrow(again, _STATE), "seats")
-        state.drop()
-        state = new
-        if k >= sweeps - kept:
-            seen.insert(0, _collect_totals(state.read()))
-    hot = {w: -(-n * buckets // max(1, total)) for w, n in top if n * buckets > total}
-    return {"state": state, "totals": seen or [_collect_totals(state.read())], "heads": heads, "buckets": buckets, "hot": hot, "train_tokens": total}
 
+def score_corpus(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """Learns from rows whose id's crc32 modulo 7 isn't 2, and scores all rows, one row out per row.
 
-def score(docs: DataFrame, model: dict, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``."""
-    spark = docs.sparkSession
-    heads, buckets, hot, totals = model["heads"], model["buckets"], model["hot"], model["totals"]
-    n_train, n_words = model["train_tokens"], totals[0].words
-    base_of = np.cumsum([0, *hot.values()])
-    cells = {w: (buckets + int(base_of[i]), s) for i, (w, s) in enumerate(hot.items())}
-    hot_words = np.array(sorted(cells), np.int64)
-    first, spread = (np.array([cells[w][i] for w in hot_words.tolist()], np.int64) for i in (0, 1))
-    held = spark.sparkContext.broadcast(totals)
-
-    def post(batches):
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 40
-        for b in batches:
-            ids, rows = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for part in _slices(rows):
-                word, context, at = counted(rows[part], heads)
-                (word, at, context), _, n = grouped(word, at, context)
-                cell = word % buckets
-                if len(hot_words):
-                    i = np.minimum(np.searchsorted(hot_words, word), len(hot_words) - 1)
-                    cell = np.where(hot_words[i] == word, first[i] + at % spread[i], cell)
-                order = np.argsort(cell, kind="stable")
-                cuts = np.searchsorted(cell[order], np.unique(cell))
-                names = np.array([x or 0 for x in ids[part]], np.int64)
-                known = np.array([x is not None for x in ids[part]], np.int64)
-                at_cells = [(int(cell[i[0]]), i) for i in np.split(order, cuts[1:])] if len(order) else []
-                data = [packed(word[i], context[i], row + at[i], names[at[i]], known[at[i]], n[i]) for _, i in at_cells]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in at_cells], pa.int64()), pa.array(data, pa.binary())], names=["bucket", "data"])
-                row += part.stop - part.start
-
-    def spare(batches):
-        """Seats of hot words, for each cell that scores a share of their occurrences."""
-        for batch in batches:
-            for r in batch.to_pylist():
-                yield from _state_row(r["bucket"], r["pairs"], r["tables"], []).to_batches()
-                word, context, c = unpacked(r["pairs"], 3)
-                for w in np.intersect1d(word, hot_words).tolist():
-                    lo, hi = np.searchsorted(word, [w, w + 1])
-                    whole, own = Bucket(word, context, c), Bucket(word[lo:hi], context[lo:hi], c[lo:hi])
-                    one = slice(*np.searchsorted(whole.w1, [w, w + 1]))
-                    k = int(np.searchsorted(whole.w0, w))
-                    tables = [packed(np.concatenate([t2[lo:hi], t1[one], t0[k : k + 1]])) for t2, t1, t0 in (_read_tables(t, whole) for t in r["tables"])]
-                    for cell in range(cells[w][0], cells[w][0] + cells[w][1]):
-                        yield from _state_row(cell, packed(own.word, own.context, own.c2), tables, []).to_batches()
-
-    sums = "source long, data binary, base array<double>, score array<double>"
-
-    def judge(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = np.zeros(0, np.int64)
-        row = right.to_pylist()[0] if right.num_rows else None
-        b = Bucket(*unpacked(row["pairs"], 3)) if row else Bucket(empty, empty, empty)
-        seats = with_customers(b, [_read_tables(t, b) for t in row["tables"]] if row else [(empty, empty, empty)] * len(totals))
-        out: dict[int, list] = {}
-        for d in left.column("data").to_pylist():
-            word, context, uid, doc, known, n = unpacked(d, 6)
-            logp, c = log_probabilities(b, seats, held.value, word, context)
-            (uids,), group, _ = grouped(uid)
-            firsts = np.zeros(len(uids), np.int64)
-            firsts[group[::-1]] = np.arange(len(uid))[::-1]
-            total = [np.bincount(group, x, len(uids)) for x in (n, n * (c > 0), n * np.log10((c + 1) / (n_train + n_words + 1)), n * logp)]
-            out.setdefault(int(uid[0]) >> 40, []).append((uids, doc[firsts], known[firsts], *total))
-        rows = [(k, *(np.concatenate(x) for x in zip(*v, strict=True))) for k, v in out.items()]
-        data = [packed(u, d, kn, n.astype(np.int64), m.astype(np.int64)) for _, u, d, kn, n, m, _, _ in rows]
-        return pa.table({"source": pa.array([r[0] for r in rows], pa.int64()), "data": pa.array(data, pa.binary()), "base": pa.array([r[6] for r in rows], pa.list_(pa.float64())), "score": pa.array([r[7] for r in rows], pa.list_(pa.float64()))})
-
-    def finish(key: tuple[pa.Scalar, ...], batch: pa.Table) -> pa.Table:
-        cols = [np.concatenate(x) for x in zip(*(unpacked(d, 5) for d in batch.column("data").to_pylist()), strict=True)]
-        base, logp = (np.concatenate([c.values.to_numpy(zero_copy_only=False) for c in batch.column(x) if len(c.values)] or [np.zeros(0)]) for x in ("base", "score"))
-        (uids,), group, _ = grouped(cols[0])
-        firsts = np.zeros(len(uids), np.int64)
-        firsts[group] = np.arange(len(group))
-        add = lambda x: np.bincount(group, x, len(uids))
-        ids = pa.array(cols[1][firsts], pa.int64(), mask=cols[2][firsts] == 0)
-        return pa.table({"doc_id": ids, "n_tokens": pa.array(add(cols[3]).astype(np.int64)), "n_known": pa.array(add(cols[4]).astype(np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(logp))})
-
-    postings = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(post, "bucket long, data binary")
-    seats = model["state"].read().select("bucket", "pairs", "tables").mapInArrow(spare, _STATE).drop("totals")
-    partial = postings.groupBy("bucket").cogroup(seats.groupBy("bucket")).applyInArrow(judge, sums)
-    out = partial.groupBy("source").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return out.withColumn("train_tokens", F.lit(n_train).cast("long"))
-
-
-def score_corpus(docs: DataFrame) -> DataFrame:
-    """Learns from rows whose id's crc32 modulo 7 isn't 2, and scores all rows, one row out per row."""
-    out = score(docs, fit(docs.where(fold("doc_id", 7) != 2)))
+    doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Null text is an end after a start. Ids may be
+    null or repeat; an empty table gives no rows; other columns aren't read. Without training rows each token has the
+    unknown word's probability, 1.
+    """
+    out = scores(learn(docs, fold(id_col, 7) != 2, text=text, id_col=id_col, **options))
     return out.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

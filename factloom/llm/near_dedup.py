@@ -18,7 +18,6 @@ candidates that appear in them often enough are probed in the long ones by binar
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import math
@@ -31,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, join_groups, keep_rows, parts, store
+from .common import Stored, join_groups, keep_rows, parts, release, store
 
 WIDTH = 5
 #: Jaccard similarity of a link, in hundredths.
@@ -221,12 +220,6 @@ def _bloom(sids: DataFrame) -> np.ndarray:
     return out
 
 
-def _release(spark) -> None:
-    """Let Spark drop the shuffle files of finished steps now rather than some time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of each node with an edge (a, b). Labels spread along edges and jump to
     their label's label until nothing changes; each round is written, so none depends on the one before."""
@@ -263,7 +256,7 @@ def _search_pairs(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
 
     found = left.groupBy("q", "k").cogroup(right.groupBy("q", "k")).applyInArrow(run, "a long, b long")
     out = store(found, "links")
-    _release(pairs.sparkSession)
+    release(pairs.sparkSession)
     return out
 
 
@@ -338,7 +331,7 @@ def classes(docs: DataFrame, *, link: int = LINK, text: str = "text", id_col: st
     shared = store(_listed(texts.mapInArrow(_prefixes(link), "h long, sid long")).mapInArrow(_shared_counts, "sid long, shared long").groupBy("sid").agg(F.sum("shared").alias("shared")), "shared")
     few = F.greatest(F.lit(1), F.ceil(F.floor(F.col("n") * link / 100) * EXTRA))
     able = store(shared.join(named, "sid").where(F.col("shared") >= few).select("sid"), "able")
-    _release(spark)
+    release(spark)
     held = spark.sparkContext.broadcast(_bloom(able))
 
     def whole(batches):
@@ -355,7 +348,7 @@ def classes(docs: DataFrame, *, link: int = LINK, text: str = "text", id_col: st
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.int64()), pa.array([s.tobytes() for _, s in some], pa.binary())], names=["sid", "items"])
 
     sets = store(texts.mapInArrow(whole, "sid long, items binary").dropDuplicates(["sid"]), "sets")
-    _release(spark)
+    release(spark)
 
     postings = sets.mapInArrow(_all_postings, "h long, sid long")
     lengths = postings.groupBy("h").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
@@ -365,7 +358,7 @@ def classes(docs: DataFrame, *, link: int = LINK, text: str = "text", id_col: st
     # shingles of the set come after this one; ``own``: the share that no other set has.
     lists = live.join(named, "sid").where(F.col("place") <= F.col("live") - F.ceil(F.col("n") * link / 100) + 1)
     lists = store(lists.select("h", "sid", "n", (F.col("live") - F.col("place")).alias("left"), (1 - F.col("live") / F.col("n")).alias("own")), "lists")
-    _release(spark)
+    release(spark)
 
     comps = store(lists.select("sid").distinct().withColumn("component", F.col("sid")), "components")
     for k in range(PIVOT_ROUNDS):
