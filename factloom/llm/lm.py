@@ -38,7 +38,7 @@ from .wordblocks import gather, squeeze, unsqueeze, wide
 #: Ids of the start of a text (a context only) and of its end; words follow.
 START, END = 0, 1
 #: Occurrences of words for each cell.
-CELL_TOKENS = 3_000_000
+CELL_TOKENS = 2_000_000
 #: Sweeps, and how many of the last of them predictions average over.
 SWEEPS, KEPT = 3, 2
 #: Strength of the parent and of contexts. Discounts are estimated from counts of counts.
@@ -104,7 +104,7 @@ class Tables:
             stop = min(int(np.searchsorted(sizes, high, "right")), at + max(1, 1_000_000 // high))
             i = order[at:stop]
             k = np.arange(high)
-            x = np.cumsum(np.log(theta[i, None] + self.d * k), 1) + logp[i, None] * (k + 1.0) + self.log[c[i]][:, 1 : high + 1]
+            x = np.cumsum(np.log(theta[i, None] + self.d * k), 1) + logp[i, None] * (k + 1.0) + self.log[c[i], 1 : high + 1]
             x = np.cumsum(np.exp(x - x.max(1, keepdims=True)), 1)
             t[i] = np.minimum((x < rng.random(len(i))[:, None] * x[:, -1:]).sum(1) + 1, c[i])
             at = stop
