@@ -123,8 +123,20 @@ class ByteBpe:
         ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(lengths)) + 1 if words else np.zeros(0, np.int64)
         return ids, np.diff(ends, prepend=0)
 
+    def encode_distinct(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, in a row, and how many each has. A special string is its own id."""
+        names = {s.encode(): [i] for s, i in self.special.items()}
+        if self.proven:
+            get, merge = self._ranks.get, self._core.encode_single_piece
+            each = [[i] if (i := get(w)) is not None else names.get(w) or merge(w) for w in words]
+        else:
+            each = [names.get(w) or self.library.encode(w.decode(), add_special_tokens=False).ids for w in words]
+        return np.array(list(itertools.chain.from_iterable(each)), np.int64), np.array([*map(len, each)], np.int64)
+
     def encode_odd(self, text: str) -> bytes:
         """A text that ``words`` refuses: special strings, or runs of white space."""
+        if not self.proven:
+            return self._plain(text)
         return b"".join(self.special[p].to_bytes(4, "little") if k % 2 else self._plain(p) for k, p in enumerate(self.parts(text)) if p)
 
     def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

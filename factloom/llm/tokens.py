@@ -6,10 +6,12 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, wordblocks
+from .common import store
 
 ENCODED = "doc_id long, n_tokens long, ids binary"
 
@@ -84,27 +86,102 @@ def token_counts(docs: DataFrame, *, tokenizer: str | None = None, limit: int =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
-def encode(docs: DataFrame, *, tokenizer: str | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Whole texts as token ids: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers).
-
-    The partitions of ``docs`` are cut into blocks of about ``bpe.BLOCK_CHARS`` characters. In each, words are split,
-    each distinct word is encoded once, and ids join back to the words' places. Null text encodes as empty.
+def split_words(text, special: list[str]):
+    """Column of the words (pre-tokens) of a text column, in order; special strings are words of their own. Words in a
+    row are the text. Null text has none."""
+    words = lambda t: F.regexp_extract_all(t, F.lit("(?U)" + bpe.SPLIT), F.lit(0))
+    plain = words(F.coalesce(text, F.lit("")))
+    if not special:
+        return plain
+    either = "|".join(r"\Q" + s + r"\E" for s in sorted(special, key=len, reverse=True))
+    cut = F.split(F.regexp_replace(text, f"({either})", "\0$1\0"), "\0")  # texts that hold a NUL themselves go to the library
+    parts = F.transform(cut, lambda t: F.when(t.isin(special), F.array(t)).otherwise(words(t)))
+    some = functools.reduce(lambda x, y: x | y, [F.contains(text, F.lit(s)) for s in special])
+    return F.when(some & F.contains(text, F.lit("\0")), F.array(text)).when(some, F.flatten(parts)).otherwise(plain)
+
+
+def _block_words(path: str):
+    """For ``wordblocks.blocks``: words of texts, with doc_id and, of texts on which splitters of different Unicode
+    versions may disagree, the library's ids; such texts give no words."""
+
+    def run(b: pa.RecordBatch):
+        model, lists = bpe.load(path), b.column(1)
+        words = lists.flatten()
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        distinct = words.filter(pc.invert(pc.string_is_ascii(words))).unique().to_pylist()
+        odd_words = [w for w in distinct if not all(map(bpe.settled, set(w)))] if model.proven else []
+        bad = pc.is_in(words, pa.array(odd_words, words.type)).to_numpy(zero_copy_only=False) if odd_words else np.zeros(len(words), bool)
+        if not model.proven:
+            bad = np.ones(len(words), bool)
+        elif model.special and counts.size:
+            # A text that holds both a NUL and a special string came whole.
+            whole = pc.and_(pc.match_substring(words, "\0"), pc.invert(pc.is_in(words, pa.array([*model.special], words.type)))).to_numpy(zero_copy_only=False)
+            bad = bad | whole
+        ends = np.cumsum(counts)
+        odd = np.flatnonzero(np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(bad)])[ends]])) > 0)
+        found = [np.frombuffer(model.encode_odd("".join(words.slice(int(ends[i] - counts[i]), int(counts[i])).to_pylist())), "<u4") for i in odd.tolist()]
+        if len(odd):
+            keep = np.ones(len(words), bool)
+            for i in odd.tolist():
+                keep[ends[i] - counts[i] : ends[i]] = False
+            words = words.filter(pa.array(keep))
+            counts[odd] = 0
+        ids = b.column(0)
+        kept = [pc.fill_null(ids, 0).to_numpy().view(np.uint64), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), odd, np.array([len(x) for x in found], np.int64), np.concatenate([*found, np.zeros(0, "<u4")])]
+        return words, counts, [], kept
+
+    return run
+
+
+def _encode_table(path: str):
+    """A shard's table of distinct words: each is encoded once; its ids go to all blocks that have it."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        model, parts = bpe.load(path), [wordblocks.unpack_words(x) for x in rows.column("words").to_pylist()]
+        coded = pa.concat_arrays(parts).dictionary_encode()
+        flat, sizes = model.encode_distinct(coded.dictionary.to_pylist())
+        starts = np.cumsum(sizes) - sizes
+        out = []
+        for at in np.split(coded.indices.to_numpy().astype(np.int64), np.cumsum([len(p) for p in parts])[:-1]):
+            out.append(wordblocks.squeeze(sizes[at], flat[wordblocks.gather(starts[at], sizes[at])]))
+        return pa.table([rows.column("block"), rows.column("shard"), pa.array(out, pa.binary())], names=["block", "shard", "ids"])
+
+    return run
+
+
+def _join_ids(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Ids of a block's texts: the words' ids by position."""
+    counts, codes = wordblocks.wide(wordblocks.unsqueeze(left.column("places")[0].as_py()))
+    doc_id, known, odd, odd_sizes, odd_ids = wordblocks.unsqueeze(left.column("rows")[0].as_py())
+    found = sorted(zip(right.column("shard").to_pylist(), right.column("ids").to_pylist(), strict=True))
+    table = [wordblocks.unsqueeze(x) for _, x in found]
+    sizes, flat = (np.concatenate([*(t[i] for t in table), np.zeros(0, np.int64)]).astype(np.int64) for i in (0, 1))
+    ids, at = bpe.gather(flat.astype("<u4"), sizes, codes, counts)
+    raw = ids.astype("<u4").tobytes()
+    out = [raw[4 * x : 4 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    odd_raw, odd_at = odd_ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(odd_sizes)]).astype(np.int64)
+    for i, x, y in zip(odd.tolist(), odd_at[:-1].tolist(), odd_at[1:].tolist(), strict=True):
+        out[i] = odd_raw[4 * x : 4 * y]
+    ids = pa.array(doc_id.astype(np.uint64).view(np.int64), pa.int64(), mask=known == 0)
+    return pa.table({"doc_id": ids, "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())})
+
+
+def encode(docs: DataFrame, *, tokenizer: str | None = None, text: str = "text", id_col: str = "doc_id", block_bytes: int = wordblocks.BLOCK_BYTES) -> DataFrame:
+    """Whole texts as token ids: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), one row per row.
+
+    Spark's expressions split texts into words; a table of the distinct words of all texts encodes each word once; ids
+    join back by position. Null text encodes as empty, null and repeated ids are carried through, an empty table gives no
+    rows, and other columns aren't read. Memory is bounded by a block of texts, or by the longest text.
     """
     path = tokenizer or bpe.default_path()
-
-    def run(batches):
-        model = bpe.load(path)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for part in bpe.blocks(texts):
-                ids, at = model.encode_block([t or "" for t in texts[part]])
-                raw = ids.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(part.start, part.stop - part.start), pa.array(np.diff(at)), pa.array([raw[4 * x : 4 * y] for x, y in zip(at, at[1:], strict=False)], pa.binary())],
-                    names=["doc_id", "n_tokens", "ids"],
-                )
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ENCODED)
+    special = [*bpe.load(path).special]
+    shards = wordblocks.shards_for(docs, text)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(split_words(F.col(f"`{text}`"), special), F.array().cast("array<string>")).alias("words"))
+    blocks = store(wordblocks.blocks(rows, _block_words(path), shards, block_bytes=block_bytes), "blocks")
+    words = blocks.where("shard >= 0").select("block", "shard", "words")
+    table = words.groupBy("shard").applyInArrow(_encode_table(path), "block long, shard int, ids binary")
+    texts = blocks.where("shard = -1").select("block", "places", "rows")
+    return texts.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_join_ids, ENCODED)
 
 
 def decode(encoded: DataFrame, *, tokenizer: str | None = None, keep: tuple[str, ...] = ("doc_id", "n_tokens", "ids")) -> DataFrame:
