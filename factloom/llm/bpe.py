@@ -39,6 +39,21 @@ def settled(char: str) -> bool:
     return unicodedata.ucd_3_2_0.category(char) not in ("Cn", "Co") and unicodedata.category(char)[0] == unicodedata.ucd_3_2_0.category(char)[0]
 
 
+def _pieces(vocab: dict[str, int], special: dict[str, int]) -> dict[int, bytes]:
+    """The bytes of each id."""
+    back = {c: b for b, c in byte_letters().items()}
+    plain = {i: bytes(back[c] for c in s) for s, i in vocab.items() if s not in special and all(c in back for c in s)}
+    return plain | {i: s.encode() for s, i in special.items()}
+
+
+@functools.lru_cache(maxsize=2)
+def pieces_of(path: str) -> dict[int, bytes]:
+    """The id-to-piece table of a tokenizer file: all that decoding needs."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return _pieces(spec["model"]["vocab"], {a["content"]: a["id"] for a in spec.get("added_tokens", [])})
+
+
 class ByteBpe:
     """A loaded tokenizer. It takes whole texts; special strings in them are special tokens, as the library has it."""
 
@@ -47,11 +62,9 @@ class ByteBpe:
             spec = json.load(f)
         self.path = path
         vocab = spec["model"]["vocab"]
-        back = {c: b for b, c in byte_letters().items()}
         special = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self.special = special
-        self.pieces: dict[int, bytes] = {i: bytes(back[c] for c in s) for s, i in vocab.items() if s not in special and all(c in back for c in s)}
-        self.pieces |= {i: s.encode() for s, i in special.items()}
+        self.pieces = _pieces(vocab, special)
         self.proven = self._prove(spec, vocab, special) and self._reached(vocab, special)
         self._cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         if self.proven:

@@ -235,11 +235,10 @@ def _post(cells: Cells, n_train: int, n_words: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block = left.column("block")[0].as_py()
-        counts, codes = wide(unsqueeze(left.column("places")[0].as_py()))
+        counts, codes, shard = wide(unsqueeze(left.column("places")[0].as_py()))
         doc_id, known_id, train = unsqueeze(left.column("rows")[0].as_py())
-        found = sorted(zip(right.column("shard").to_pylist(), right.column("ids").to_pylist(), strict=True))
-        named = [unsqueeze(x) for _, x in found]
-        ids, seen = (np.concatenate([x[i] for x in named]).astype(np.int64) if named else np.zeros(0, np.int64) for i in (0, 1))
+        found = [(k, unsqueeze(x)) for k, x in zip(right.column("shard").to_pylist(), right.column("ids").to_pylist(), strict=True)]
+        ids, seen = (wordblocks.by_code(shard, [(k, x[i]) for k, x in found]) for i in (0, 1))
         n_words_here = len(ids)
         id_of = np.r_[ids, END, START]
         seen = np.r_[seen, cells.ends]

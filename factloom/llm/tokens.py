@@ -151,13 +151,16 @@ def _encode_table(path: str):
 
 def _join_ids(left: pa.Table, right: pa.Table) -> pa.Table:
     """Ids of a block's texts: the words' ids by position."""
-    counts, codes = wordblocks.wide(wordblocks.unsqueeze(left.column("places")[0].as_py()))
+    counts, codes, shard = wordblocks.wide(wordblocks.unsqueeze(left.column("places")[0].as_py()))
     doc_id, known, odd, odd_sizes, odd_ids = wordblocks.unsqueeze(left.column("rows")[0].as_py())
-    found = sorted(zip(right.column("shard").to_pylist(), right.column("ids").to_pylist(), strict=True))
-    table = [wordblocks.unsqueeze(x) for _, x in found]
-    sizes, flat = (np.concatenate([*(t[i] for t in table), np.zeros(0, np.int64)]).astype(np.int64) for i in (0, 1))
-    ids, at = bpe.gather(flat.astype("<u4"), sizes, codes, counts)
-    raw = ids.astype("<u4").tobytes()
+    found = [(k, *wordblocks.unsqueeze(x)) for k, x in zip(right.column("shard").to_pylist(), right.column("ids").to_pylist(), strict=True)]
+    flat = np.concatenate([*(x for _, _, x in found), np.zeros(0, np.uint8)])
+    sizes = wordblocks.by_code(shard, [(k, n) for k, n, _ in found])
+    shift = np.cumsum([0, *(len(x) for _, _, x in found)])
+    starts = wordblocks.by_code(shard, [(k, a + np.cumsum(n, dtype=np.int64) - n) for (k, n, _), a in zip(found, shift[:-1], strict=True)])
+    each = sizes[codes]
+    raw = flat[wordblocks.gather(starts[codes], each)].astype("<u4").tobytes()
+    at = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])]
     out = [raw[4 * x : 4 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     odd_raw, odd_at = odd_ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(odd_sizes)]).astype(np.int64)
     for i, x, y in zip(odd.tolist(), odd_at[:-1].tolist(), odd_at[1:].tolist(), strict=True):
@@ -191,18 +194,20 @@ def decode(encoded: DataFrame, *, tokenizer: str | None = None, keep: tuple[str,
     names = [*dict.fromkeys([*keep, "ids"])]
 
     def run(batches):
-        model = bpe.load(path)
-        size = np.zeros(max(model.pieces) + 1, np.int64)
-        size[[*model.pieces]] = [len(p) for p in model.pieces.values()]
-        table = np.frombuffer(b"".join(model.pieces.get(i, b"") for i in range(len(size))), np.uint8)
+        pieces = bpe.pieces_of(path)
+        size = np.zeros(max(pieces) + 1, np.int64)
+        size[[*pieces]] = [len(p) for p in pieces.values()]
+        there = np.zeros(len(size), bool)
+        there[[*pieces]] = True
+        table = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(len(size))), np.uint8)
         for b in batches:
             out = []
-            for raw in b.column(names.index("ids")).to_pylist():
-                if raw is None:
+            for raw in b.column(names.index("ids")):
+                if not raw.is_valid:
                     out.append(None)
                     continue
-                ids = np.frombuffer(raw, "<u4").astype(np.int64)
-                if ids.size and (ids.max() >= len(size) or not all(i in model.pieces for i in np.unique(ids).tolist())):
+                ids = np.frombuffer(raw.as_buffer(), "<u4").astype(np.int64)
+                if ids.size and (ids.max() >= len(size) or not there[ids].all()):
                     raise ValueError("an id has no piece in the vocabulary")
                 out.append(bpe.gather(table, size, ids, np.array([len(ids)]))[0].tobytes().decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(names))], pa.array(out, pa.string())], names=[*names, "text"])

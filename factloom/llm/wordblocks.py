@@ -24,7 +24,7 @@ BLOCK_BYTES = 8_000_000
 #: Bytes of text for each shard of words.
 SHARD_BYTES = 64_000_000
 #: Rows of ``blocks``: the words of a block in one shard (shard >= 0; n: counts of them, one for each weight), or
-#: its texts (shard -1; places: words by text, then words by place; rows: columns of its rows).
+#: its texts (shard -1; places: words by text, words by place, shards by word; rows: columns of its rows).
 BLOCKS = "block long, shard int, words binary, n binary, places binary, rows binary, n_places long"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,7 +42,7 @@ def squeeze(*columns: np.ndarray) -> bytes:
             width = 1
         head += [(c.size // width).to_bytes(8, "little"), width.to_bytes(1, "little")]
         raw.append(c.tobytes())
-    return b"".join(head) + zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
+    return b"".join(head) + zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
 
 
 def unsqueeze(data: bytes) -> list[np.ndarray]:
@@ -143,17 +143,18 @@ def blocks(docs: DataFrame, split: Callable, shards: int, *, block_bytes: int =
                 words, counts, weights, kept = split(b.slice(part.start, part.stop - part.start))
                 coded = words.dictionary_encode()
                 table = coded.dictionary.cast(pa.binary())
-                shard = spread(table, shards)
-                order = np.argsort(shard, kind="stable")
-                new = np.empty(len(order), np.int64)
-                new[order] = np.arange(len(order))
-                codes = new[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+                # Codes by falling frequency: small numbers, which compress.
+                codes = coded.indices.to_numpy().astype(np.int64) if len(words) else np.zeros(0, np.int64)
+                order = np.argsort(-np.bincount(codes, minlength=len(table)), kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                codes, table = rank[codes], table.take(pa.array(order))
                 by_word = [np.bincount(codes, np.repeat(w, counts), len(order)).astype(np.int64) for w in weights]
-                table, at = table.take(pa.array(order)), np.searchsorted(shard[order], np.arange(shards + 1))
-                out = [(name, -1, None, None, squeeze(counts, codes), squeeze(*kept), len(codes))]
-                for s in np.flatnonzero(np.diff(at)).tolist():
-                    lo, hi = int(at[s]), int(at[s + 1])
-                    out.append((name, s, pack_words(table.slice(lo, hi - lo)), squeeze(*[w[lo:hi] for w in by_word]), None, None, 0))
+                shard = spread(table, shards)
+                out = [(name, -1, None, None, squeeze(counts, codes, shard), squeeze(*kept), len(codes))]
+                for s in np.unique(shard).tolist():
+                    at = np.flatnonzero(shard == s)
+                    out.append((name, s, pack_words(table.take(pa.array(at))), squeeze(*[w[at] for w in by_word]), None, None, 0))
                 name += 1
                 kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
@@ -165,3 +166,11 @@ def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places of runs that begin at ``starts`` and have ``sizes``, one run after another."""
     ends = np.cumsum(sizes)
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def by_code(shard: np.ndarray, found: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """What shards found for a block's words, in the order of the words' codes."""
+    out = np.zeros(len(shard), np.int64)
+    for s, x in found:
+        out[shard == s] = x
+    return out
