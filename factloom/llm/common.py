@@ -31,20 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
 class Stored:
     """A table written to the shared folder, so that lineage ends there and lost executors lose nothing."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, by: str | None = None):
+        """``by``: a column whose values get folders of their own, which ``drop`` can take."""
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/factloom/{name}-{uuid.uuid4().hex}"
         self.schema = df.schema
-        df.write.option("compression", "zstd").parquet(self.path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
-    def drop(self) -> None:
-        """Delete the files; call only once nothing reads them any more."""
+    def drop(self, part: str = "") -> None:
+        """Delete the files, or those of one folder (``by=value``); call only once nothing reads them any more."""
         with suppress(Exception):
             jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(self.path)
+            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}" if part else self.path)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 

@@ -464,7 +464,7 @@ class Model:
         return Parent(d, strength, self.n_words, int(customers or 0), int(tables or 0) + int(t.sum()), c, t)
 
 
-def learn(docs: DataFrame, train, *, text: str = "text", id_col: str = "doc_id", cell_tokens: int = CELL_TOKENS, block_bytes: int = wordblocks.BLOCK_BYTES, sweeps: int = SWEEPS, kept: int = KEPT, strength=STRENGTH) -> Model:
+def learn(docs: DataFrame, train, *, text: str = "text", id_col: str = "doc_id", cell_tokens: int = CELL_TOKENS, block_bytes: int = 8_000_000, sweeps: int = SWEEPS, kept: int = KEPT, strength=STRENGTH) -> Model:
     """Pairs of all texts of ``docs``, and seatings sampled of those of rows for which ``train`` (a column) holds."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe, wordblocks
-from .common import store
+from .common import Stored, release, store
 
 ENCODED = "doc_id long, n_tokens long, ids binary"
 
@@ -149,24 +150,41 @@ def _encode_table(path: str):
     return run
 
 
-def _join_ids(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Ids of a block's texts: the words' ids by position."""
-    counts, codes, shard = wordblocks.wide(wordblocks.unsqueeze(left.column("places")[0].as_py()))
-    doc_id, known, odd, odd_sizes, odd_ids = wordblocks.unsqueeze(left.column("rows")[0].as_py())
-    found = [(k, *wordblocks.unsqueeze(x)) for k, x in zip(right.column("shard").to_pylist(), right.column("ids").to_pylist(), strict=True)]
-    flat = np.concatenate([*(x for _, _, x in found), np.zeros(0, np.uint8)])
-    sizes = wordblocks.by_code(shard, [(k, n) for k, n, _ in found])
-    shift = np.cumsum([0, *(len(x) for _, _, x in found)])
-    starts = wordblocks.by_code(shard, [(k, a + np.cumsum(n, dtype=np.int64) - n) for (k, n, _), a in zip(found, shift[:-1], strict=True)])
-    each = sizes[codes]
-    raw = flat[wordblocks.gather(starts[codes], each)].astype("<u4").tobytes()
-    at = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])]
-    out = [raw[4 * x : 4 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-    odd_raw, odd_at = odd_ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(odd_sizes)]).astype(np.int64)
-    for i, x, y in zip(odd.tolist(), odd_at[:-1].tolist(), odd_at[1:].tolist(), strict=True):
-        out[i] = odd_raw[4 * x : 4 * y]
-    ids = pa.array(doc_id.astype(np.uint64).view(np.int64), pa.int64(), mask=known == 0)
-    return pa.table({"doc_id": ids, "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())})
+def _join_ids(finish):
+    """Ids of a block's texts: the words' ids by position. ``finish`` makes columns of all texts' ids."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        counts, codes, shard = wordblocks.wide(wordblocks.unsqueeze(left.column("places")[0].as_py()))
+        doc_id, known, odd, odd_sizes, odd_ids = wordblocks.unsqueeze(left.column("rows")[0].as_py())
+        found = [(k, *wordblocks.unsqueeze(x)) for k, x in zip(right.column("shard").to_pylist(), right.column("ids").to_pylist(), strict=True)]
+        flat = np.concatenate([*(x for _, _, x in found), np.zeros(0, np.uint8)]).astype("<u4")
+        sizes = wordblocks.by_code(shard, [(k, n) for k, n, _ in found])
+        shift = np.cumsum([0, *(len(x) for _, _, x in found)])
+        starts = wordblocks.by_code(shard, [(k, a + np.cumsum(n, dtype=np.int64) - n) for (k, n, _), a in zip(found, shift[:-1], strict=True)])
+        each = sizes[codes]
+        ids = flat[wordblocks.gather(starts[codes], each)]
+        at = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])]
+        out = [ids[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        for i, x in zip(odd.tolist(), np.split(odd_ids.astype("<u4"), np.cumsum(odd_sizes.astype(np.int64))[:-1]), strict=False):
+            out[i] = x
+        names = pa.array(doc_id.astype(np.uint64).view(np.int64), pa.int64(), mask=known == 0)
+        return pa.table({"doc_id": names, "n_tokens": pa.array([len(x) for x in out], pa.int64()), **finish(out)})
+
+    return run
+
+
+def _joined(docs: DataFrame, finish, schema: str, *, tokenizer: str | None, text: str, id_col: str, block_bytes: int) -> DataFrame:
+    path = tokenizer or bpe.default_path()
+    special = [*bpe.load(path).special]
+    shards = wordblocks.shards_for(docs, text)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(split_words(F.col(f"`{text}`"), special), F.array().cast("array<string>")).alias("words"))
+    blocks = Stored(wordblocks.blocks(rows, _block_words(path), shards, block_bytes=block_bytes), "blocks", by="kind")
+    words = blocks.read().where("kind = 'words'").select("block", "shard", "words")
+    table = store(words.groupBy("shard").applyInArrow(_encode_table(path), "block long, shard int, ids binary"), "ids")
+    blocks.drop("kind=words")
+    release(docs.sparkSession)
+    texts = blocks.read().where("kind = 'texts'").select("block", "places", "rows")
+    return texts.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_join_ids(finish), schema)
 
 
 def encode(docs: DataFrame, *, tokenizer: str | None = None, text: str = "text", id_col: str = "doc_id", block_bytes: int = wordblocks.BLOCK_BYTES) -> DataFrame:
@@ -176,15 +194,27 @@ def encode(docs: DataFrame, *, tokenizer: str | None = None, text: str = "text",
     join back by position. Null text encodes as empty, null and repeated ids are carried through, an empty table gives no
     rows, and other columns aren't read. Memory is bounded by a block of texts, or by the longest text.
     """
-    path = tokenizer or bpe.default_path()
-    special = [*bpe.load(path).special]
-    shards = wordblocks.shards_for(docs, text)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(split_words(F.col(f"`{text}`"), special), F.array().cast("array<string>")).alias("words"))
-    blocks = store(wordblocks.blocks(rows, _block_words(path), shards, block_bytes=block_bytes), "blocks")
-    words = blocks.where("shard >= 0").select("block", "shard", "words")
-    table = words.groupBy("shard").applyInArrow(_encode_table(path), "block long, shard int, ids binary")
-    texts = blocks.where("shard = -1").select("block", "places", "rows")
-    return texts.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_join_ids, ENCODED)
+    out = lambda ids: {"ids": pa.array([x.tobytes() for x in ids], pa.binary())}
+    return _joined(docs, out, ENCODED, tokenizer=tokenizer, text=text, id_col=id_col, block_bytes=block_bytes)
+
+
+@functools.lru_cache(maxsize=2)
+def decoder(path: str):
+    """A function from ids of a text to the text: each id is joined to its piece, in place order. Ids without a piece
+    are an error. The table of pieces is bounded by the tokenizer's file."""
+    pieces = bpe.pieces_of(path)
+    size = np.zeros(max(pieces) + 1, np.int64)
+    size[[*pieces]] = [len(p) for p in pieces.values()]
+    there = np.zeros(len(size), bool)
+    there[[*pieces]] = True
+    table = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(len(size))), np.uint8)
+
+    def run(ids: np.ndarray) -> str:
+        if ids.size and (int(ids.max()) >= len(size) or not there[ids].all()):
+            raise ValueError("an id has no piece in the vocabulary")
+        return bpe.gather(table, size, ids, np.array([len(ids)]))[0].tobytes().decode("utf-8", "replace")
+
+    return run
 
 
 def decode(encoded: DataFrame, *, tokenizer: str | None = None, keep: tuple[str, ...] = ("doc_id", "n_tokens", "ids")) -> DataFrame:
@@ -194,30 +224,24 @@ def decode(encoded: DataFrame, *, tokenizer: str | None = None, keep: tuple[str,
     names = [*dict.fromkeys([*keep, "ids"])]
 
     def run(batches):
-        pieces = bpe.pieces_of(path)
-        size = np.zeros(max(pieces) + 1, np.int64)
-        size[[*pieces]] = [len(p) for p in pieces.values()]
-        there = np.zeros(len(size), bool)
-        there[[*pieces]] = True
-        table = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(len(size))), np.uint8)
+        text_of = decoder(path)
         for b in batches:
-            out = []
-            for raw in b.column(names.index("ids")):
-                if not raw.is_valid:
-                    out.append(None)
-                    continue
-                ids = np.frombuffer(raw.as_buffer(), "<u4").astype(np.int64)
-                if ids.size and (ids.max() >= len(size) or not there[ids].all()):
-                    raise ValueError("an id has no piece in the vocabulary")
-                out.append(bpe.gather(table, size, ids, np.array([len(ids)]))[0].tobytes().decode("utf-8", "replace"))
+            out = [text_of(np.frombuffer(raw.as_buffer(), "<u4").astype(np.int64)) if raw.is_valid else None for raw in b.column(names.index("ids"))]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(names))], pa.array(out, pa.string())], names=[*names, "text"])
 
     kinds = dict(encoded.dtypes)
     return encoded.select(*names).mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", text string")
 
 
-def round_trip_digests(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and the digests of a text's ids and of what they decode to."""
-    out = decode(encode(docs, tokenizer=tokenizer), tokenizer=tokenizer)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+def round_trip_digests(docs: DataFrame, *, tokenizer: str | None = None, text: str = "text", id_col: str = "doc_id", block_bytes: int = wordblocks.BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_tokens and the digests of a text's ids and of what they decode to: ``encode``, then ``decode``, in one
+    task. Null text has no ids and decodes as empty."""
+    path = tokenizer or bpe.default_path()
+
+    def digests(ids):
+        text_of = decoder(path)
+        decoded = [hashlib.sha256(text_of(x.astype(np.int64)).encode()).hexdigest() for x in ids]
+        return {"ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
 
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return _joined(docs, digests, schema, tokenizer=path, text=text, id_col=id_col, block_bytes=block_bytes)

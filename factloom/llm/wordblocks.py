@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text whose words share a block's table: bounds the memory of a task. Results don't depend on it.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 12_000_000
 #: Bytes of text for each shard of words.
 SHARD_BYTES = 64_000_000
 #: Rows of ``blocks``: the words of a block in one shard (shard >= 0; n: counts of them, one for each weight), or
-#: its texts (shard -1; places: words by text, words by place, shards by word; rows: columns of its rows).
-BLOCKS = "block long, shard int, words binary, n binary, places binary, rows binary, n_places long"
+#: its texts (shard -1; places: words by text, words by place, shards by word; rows: columns of its rows). kind: words or texts.
+BLOCKS = "block long, shard int, words binary, n binary, places binary, rows binary, n_places long, kind string"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,13 +108,12 @@ def spread(words: pa.Array, n: int) -> np.ndarray:
 
 
 def cuts(sizes: np.ndarray, most: int) -> Iterator[slice]:
-    """Slices of rows of at most ``most`` together; a larger row is a slice of its own."""
-    ends, at = np.cumsum(sizes), 0
-    while at < len(sizes):
-        before = int(ends[at - 1]) if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
-        yield slice(at, stop)
-        at = stop
+    """Slices of rows of about even size, ``most`` or a little more; a larger row makes a slice larger."""
+    ends = np.cumsum(sizes)
+    n = max(1, -(-int(ends[-1]) // most)) if len(ends) else 0
+    at = np.unique(np.r_[0, np.searchsorted(ends, np.arange(1, n) * (int(ends[-1]) / n)) + 1, len(sizes)]) if n else []
+    for a, b in zip(at, at[1:], strict=False):
+        yield slice(int(a), int(b))
 
 
 def shards_for(docs: DataFrame, text: str) -> int:
@@ -151,12 +150,12 @@ def blocks(docs: DataFrame, split: Callable, shards: int, *, block_bytes: int =
                 codes, table = rank[codes], table.take(pa.array(order))
                 by_word = [np.bincount(codes, np.repeat(w, counts), len(order)).astype(np.int64) for w in weights]
                 shard = spread(table, shards)
-                out = [(name, -1, None, None, squeeze(counts, codes, shard), squeeze(*kept), len(codes))]
+                out = [(name, -1, None, None, squeeze(counts, codes, shard), squeeze(*kept), len(codes), "texts")]
                 for s in np.unique(shard).tolist():
                     at = np.flatnonzero(shard == s)
-                    out.append((name, s, pack_words(table.take(pa.array(at))), squeeze(*[w[at] for w in by_word]), None, None, 0))
+                    out.append((name, s, pack_words(table.take(pa.array(at))), squeeze(*[w[at] for w in by_word]), None, None, 0, "words"))
                 name += 1
-                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
     return docs.mapInArrow(run, BLOCKS)
