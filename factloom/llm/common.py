@@ -16,6 +16,9 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where that is unset, one of our own if
     driver and executors are one process (tests), else an error, as executors wouldn't see each other's files."""
@@ -37,7 +40,13 @@ class Stored:
         self.path = f"{shared_dir(self.spark)}/factloom/{name}-{uuid.uuid4().hex}"
         self.schema = df.schema
         writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(by) if by else writer).parquet(self.path)
+        # The table is what is read from here on: the shuffle files that made it can go when it is written.
+        before = self.spark.conf.get(_CLEAN, "false")
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            (writer.partitionBy(by) if by else writer).parquet(self.path)
+        finally:
+            self.spark.conf.set(_CLEAN, before)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
