@@ -4,13 +4,15 @@ Documents longer than a sequence are cut; what is left is a histogram of piece l
 sequence length only. The program's columns are patterns (multisets of lengths that fit in a sequence); its
 covering constraints ask that each length is taken as often as it occurs. Multiplicative weights solve it: prices of
 lengths fall as they are covered, and the best pattern at current prices is a knapsack, found by dynamic programming.
-The fractional answer is rounded down and the rest is packed best fit, largest first, on the histogram too. Pieces then
-find their places by their rank within their length, so no group of pieces is ever gathered.
+The fractional answer is rounded, what is left is solved again, and best fit, largest first, packs the rest, on the
+histogram too. Pieces then find their places by their rank within their length, so no group of pieces is ever gathered.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,66 +24,79 @@ from . import bpe
 from .common import store
 
 SEQUENCE, END = 1024, 2
-#: Rounds of multiplicative weights, patterns used in each, and the rate at which prices fall.
-ROUNDS, WIDTH, RATE = 400, 16, 1.0
+#: Rounds of multiplicative weights at most, lengths served in each, the part of what a pattern could use that it gets
+#: in a step, and how fast prices fall with cover.
+ROUNDS, WIDTH, STEP, RATE = 400, 32, 0.1, 5.0
+#: Roundings at most, the share of what is left that each takes, and the part of a sequence that it may leave empty.
+ROUNDINGS, SHARE, WASTE = 4, 0.3, 256
 #: Pieces of one length are ranked within so many slices of them.
 SLICES = 64
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), lengths falling
 
 
-def knapsack(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """best[c]: the greatest total value of lengths that fit in c, ``values[l]`` being that of length l; took[c]: a
-    length in such a choice, 0 if c - 1 does as well."""
-    lengths = np.flatnonzero(values > 0)
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    worth = values[lengths]
-    for c in range(1, capacity + 1):
-        k = int(np.searchsorted(lengths, c, "right"))
-        best[c] = best[c - 1]
-        if k:
-            at = best[c - lengths[:k]] + worth[:k]
-            i = int(at.argmax())
-            if at[i] > best[c]:
-                best[c], took[c] = at[i], lengths[i]
-    return best, took
-
-
-def pattern(x: int, took: np.ndarray, capacity: int) -> Pattern:
-    """The best pattern that holds length x, read off the knapsack's table."""
-    found = Counter([x])
-    c = capacity - x
-    while c > 0:
-        found[int(took[c])] += 1 if took[c] else 0
-        c -= int(took[c]) or 1
-    return tuple(sorted(((k, n) for k, n in found.items() if n), reverse=True))
-
-
-def fractional(need: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> dict[Pattern, float]:
-    """Patterns and how often to use each, in fractions, so that lengths are covered.
-
-    A length's price is its size times a weight that falls exponentially with the share of it that is covered. Each
-    round prices patterns by one knapsack and uses the best for each of the WIDTH lengths that lag most, as often as
-    none of their lengths is covered by more than it needs. What the rounds leave open is left to the rounding.
+class Knapsack:
+    """The most valuable patterns that fit: of each length x at most ``many[x]`` pieces, each worth ``values[x]``."""
+
+    def __init__(self, values: np.ndarray, many: np.ndarray, capacity: int):
+        self.capacity, self.items = capacity, []
+        best = np.zeros(capacity + 1)
+        taken = []
+        for x in range(capacity, 0, -1):
+            left, k = min(int(many[x]), capacity // x) if values[x] > 0 else 0, 1
+            while left > 0:  # counts are written as sums of 1, 2, 4, ... and a rest
+                k = min(k, left)
+                more = best[: capacity + 1 - k * x] + k * values[x]
+                took = np.zeros(capacity + 1, bool)
+                took[k * x :] = more > best[k * x :] + 1e-12
+                best[k * x :] = np.maximum(best[k * x :], more)
+                self.items.append((x, k))
+                taken.append(took)
+                left, k = left - k, 2 * k
+        self.best, self.taken = best, taken
+
+    def pattern(self, first: int = 0) -> Pattern:
+        """The best pattern, or the best that holds a piece of length ``first`` beside what fits with it."""
+        found, room = Counter([first] if first else []), self.capacity - first
+        for (x, k), took in zip(reversed(self.items), reversed(self.taken), strict=True):
+            if took[room]:
+                found[x] += k
+                room -= k * x
+        return tuple(sorted(found.items(), reverse=True))
+
+
+def fractional(need: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP, rate: float = RATE, width: int = WIDTH) -> tuple[dict[Pattern, float], float]:
+    """Patterns and how often to use each, in fractions, so that each length is covered as often as it is needed, and a
+    bound: no solution uses fewer sequences.
+
+    Multiplicative weights: a length's price is its size times exp(-rate * cover), where cover is the share of it that is
+    covered, in units of the least step. A round prices patterns by one knapsack and gives the best that holds each of
+    the ``width`` lengths that lag most the part ``step`` of what it could use; so cover grows evenly. Prices divided by
+    the value of the best pattern are a solution of the dual, whose worth bounds all solutions.
     """
+    lengths = np.flatnonzero(need)
     used: Counter[Pattern] = Counter()
-    left = need.astype(float)
+    cover, bound = np.zeros(capacity + 1), 0.0
+    if not len(lengths):
+        return {}, 0.0
     for _ in range(rounds):
-        open_ = np.flatnonzero(left > 1e-6)
-        if not len(open_):
+        low = cover[lengths].min()
+        if low >= 1:
             break
-        share = left[open_] / need[open_]
-        values = np.zeros(len(need))
-        values[open_] = open_ * np.exp(-rate * (1 - share))
-        _, took = knapsack(values, capacity)
-        for x in open_[np.lexsort((-open_, -share))][:WIDTH].tolist():
-            p = pattern(x, took, capacity)
-            times = min(left[y] / n for y, n in p)
-            if times > 1e-9:
-                used[p] += times
-                for y, n in p:
-                    left[y] -= n * times
-    return dict(used)
+        price = np.zeros(capacity + 1)
+        price[lengths] = lengths * np.exp(-rate * (cover[lengths] - low))
+        sack = Knapsack(price, need, capacity)
+        bound = max(bound, float((need * price).sum() / sack.best[capacity]))
+        for x in lengths[np.lexsort((-lengths, cover[lengths]))][:width].tolist():
+            p = sack.pattern(x)
+            if any(k > need[y] for y, k in p):
+                p = tuple((y, min(k, int(need[y]))) for y, k in p)
+            times = step * min(need[y] / k for y, k in p)
+            used[p] += times
+            for y, k in p:
+                cover[y] += k * times / need[y]
+    low = max(cover[lengths].min(), step)
+    return {p: times / max(1.0, low) for p, times in used.items()}, bound
 
 
 def best_fit(need: np.ndarray, capacity: int) -> dict[Pattern, int]:
@@ -124,21 +139,57 @@ def _put(room: dict[int, Counter[Pattern]], left: int, p: Pattern, n: int) -> No
     room.setdefault(left, Counter())[p] += n
 
 
-def plan(need: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
-    """Patterns with whole counts that take each length exactly as often as it occurs; never more sequences than
-    best fit alone."""
-    plain = best_fit(need, capacity)
-    taken: Counter[Pattern] = Counter()
-    left = need.astype(np.int64).copy()
-    for p, times in sorted(fractional(need, capacity).items(), key=lambda x: -x[1]):
-        n = min([int(times), *(int(left[x]) // k for x, k in p)])
-        if n > 0:
-            taken[p] += n
-            for x, k in p:
-                left[x] -= n * k
-    for p, n in best_fit(left, capacity).items():
-        taken[p] += n
-    return sorted((taken if sum(taken.values()) < sum(plain.values()) else plain).items(), reverse=True)
+@dataclass
+class Plan:
+    """``patterns`` with whole counts that take each length exactly as often as it occurs. ``solved`` of the sequences
+    are the program's, ``rest`` hold what rounding left; no plan has fewer than ``bound``."""
+
+    patterns: list[tuple[Pattern, int]]
+    solved: int
+    rest: int
+    bound: int
+
+
+def plan(need: np.ndarray, capacity: int) -> Plan:
+    """The configuration program solved in fractions, of which a rounding takes a share in whole sequences; then what is
+    left is solved and rounded again. After each rounding, best fit packs the rest; of these plans (all with at least one
+    rounding) one with the fewest sequences is taken, and of several the one that the program made most of.
+
+    A rounding skips patterns that leave over 1 / WASTE of a sequence empty, so pieces without good partners stay for
+    best fit. Pieces as long as a sequence fill one each. The work depends on ``capacity``, not on how many pieces
+    there are.
+    """
+    size = np.arange(capacity + 1)
+    left, whole = need.astype(np.int64).copy(), int(need[capacity])
+    taken: Counter[Pattern] = Counter({((capacity, 1),): whole} if whole else {})
+    left[capacity] = 0
+    now = int((left * size).sum())
+    best, bound = (whole, whole, dict(taken), {}) if not now else None, whole + now / capacity
+    for k in range(ROUNDINGS if now else 0):
+        before, running = now, 0.0
+        found, least = fractional(left, capacity)
+        bound = bound if k else max(bound, whole + least)
+        share = SHARE * now / sum(t * sum(y * k for y, k in p) for p, t in found.items())
+        for p, times in sorted(found.items()):
+            # Fractions are rounded so that their running sum is: lengths stay covered evenly.
+            running, n = running + share * times, int(running + share * times) - int(running)
+            n = min([n, *(int(left[x]) // k for x, k in p)])
+            filled = sum(y * k for y, k in p)
+            if n > 0 and (capacity - filled) * WASTE <= capacity:
+                taken[p] += n
+                for x, k in p:
+                    left[x] -= n * k
+                now -= n * filled
+        rest, solved = best_fit(left, capacity), sum(taken.values())
+        total = solved + sum(rest.values())
+        if not best or (total, -solved) < (best[0], -best[1]):
+            best = (total, solved, dict(taken), rest)
+        if now in (0, before):
+            break
+    total, solved, taken, rest = best
+    patterns = Counter(taken)
+    patterns.update(rest)
+    return Plan(sorted(patterns.items(), reverse=True), solved, total - solved, math.ceil(bound - 1e-6))
 
 
 def slots(patterns: list[tuple[Pattern, int]]) -> dict[str, np.ndarray]:
@@ -192,7 +243,7 @@ def place(cut: DataFrame, *, capacity: int = SEQUENCE) -> DataFrame:
     for (x, s), n in sorted(counts.items()):
         first[x, s] = need[x]
         need[x] += n
-    table = slots(plan(need, capacity))
+    table = slots(plan(need, capacity).patterns)
     held = cut.sparkSession.sparkContext.broadcast((first, table))
     ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_slice").orderBy("row", "piece")) - 1)
     names = [c for c in cut.columns if c != "_slice"]
