@@ -1,8 +1,9 @@
 """Quality rules as weak supervision (op 4). DataFrame functions only.
 
 Each rule looks at a few figures of a text and votes good, bad or nothing. Expectation-maximisation over the table
-of vote patterns (whose size depends on the rules only) estimates how often documents are good and how each rule
-votes on good and bad ones; the posterior probability that a document is good takes the place of passing all rules.
+of vote patterns (whose size depends on the rules only) estimates how often documents are good, in which ways others are
+bad, and how each rule votes on each class; the posterior probability that a document is good takes the place of passing
+all rules: a bad vote that others bear out rejects, one of a rule that votes at random doesn't.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ RULES: tuple[tuple[str, str, float, float], ...] = (
     ("distinct", "n_distinct_words / n_words", 0.15, 0.30),
 )
 LOW_IS_BAD = frozenset({"short_words", "alphabetic", "distinct"})
-#: A rule calls at most this share of good documents bad: what keeps the two classes from changing their meaning.
-FALSE_ALARMS = 0.003
+#: Bad votes of two rules go together if they do so this many times as often as by chance.
+LIFT = 3.0
+#: What is believed before data: weight (as a share of all documents) and the rate of bad votes on good documents.
+BELIEF = (0.1, 0.005)
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_alpha_words", "n_distinct_words")
 
 
@@ -85,58 +88,86 @@ def votes() -> Column:
 
 
 class LabelModel:
-    """Two classes, rules independent given the class. ``table``: for rule r, class c, vote v: log probability."""
-
-    def __init__(self, prior: float, table: list[list[dict[int, float]]]):
-        self.prior, self.table = prior, table
+    """A latent class of good documents and several of bad ones, rules independent given the class. ``prior``: the share
+    of each class; ``rates``: by class, then rule, the probability of each vote. Class 0 is the good one."""
+
+    def __init__(self, prior: list[float], rates: list[list[dict[int, float]]]):
+        self.prior, self.rates = prior, rates
+
+    @staticmethod
+    def kinds(patterns: dict[tuple[int, ...], int]) -> list[list[int]]:
+        """Rules whose bad votes fall together far more often than by chance, in groups: each is a way to be bad. How
+        good a rule is shows in its agreement with others only, so one that agrees with none has no class."""
+        n, total = len(next(iter(patterns), ())), sum(patterns.values())
+        bad = [sum(c for p, c in patterns.items() if p[r] < 0) for r in range(n)]
+        group = list(range(n))
+        for r in range(n):
+            for s in range(r):
+                both = sum(c for p, c in patterns.items() if p[r] < 0 and p[s] < 0)
+                chance = bad[r] * bad[s] / max(1, total)
+                if both >= LIFT * chance and both - chance > 3 * math.sqrt(chance + 1):
+                    group = [group[s] if g == group[r] else g for g in group]
+        return [m for g in sorted(set(group)) if len(m := [r for r in range(n) if group[r] == g]) > 1]
 
     @classmethod
-    def fit(cls, patterns: dict[tuple[int, ...], int], rounds: int = 200) -> LabelModel:
-        """EM over counted vote patterns, in plain arithmetic. It starts from the share of good among votes cast; how
-        often documents are good is held at the share without a bad vote, within 0.5 to 0.99, or classes could drift
-        where rules mostly agree."""
-        n = len(next(iter(patterns), ()))
-        total = sum(patterns.values())
-        prior = min(0.99, max(0.5, sum(c for p, c in patterns.items() if not any(v < 0 for v in p)) / total)) if total else 0.5
-        post = {p: min(0.95, max(0.05, 0.5 + sum(p) / (2.0 * max(1, sum(map(abs, p)))) - 0.6 * any(v < 0 for v in p))) for p in patterns}
-        model = cls(0.5, [[{-1: 0.0, 0: 0.0, 1: 0.0}] * 2 for _ in range(n)])
-        for _ in range(rounds):
-            # Beta and Dirichlet priors keep every estimate inside (0, 1) and rules on the right side of chance.
-            table = []
-            for r in range(n):
+    def fit(cls, patterns: dict[tuple[int, ...], int], rounds: int = 500) -> LabelModel:
+        """Expectation-maximisation over counted vote patterns, in plain arithmetic: shares of classes and vote rates of
+        all rules are learnt. It starts from documents with a bad vote of a group being of its class. That good documents
+        get few bad votes is a prior (BELIEF), which much data overrule; a bad class's rules vote bad on it at least as
+        often as on good documents. Patterns in equal shares give equal results at any size."""
+        groups, total = cls.kinds(patterns), sum(patterns.values())
+        n, classes = len(next(iter(patterns), ())), 1 + len(groups)
+        post = {}
+        for p in patterns:
+            hits = [sum(p[r] < 0 for r in g) for g in groups]
+            some = 0.95 if any(hits) else 0.0
+            post[p] = [1 - some, *(some * h / max(1, sum(hits)) for h in hits)]
+        weight, alarm = BELIEF
+        model = cls([1.0, *[0.0] * len(groups)], [[{-1: alarm, 0: 0.5 * (1 - alarm), 1: 0.5 * (1 - alarm)}] * n] * classes)
+        for _ in range(rounds if groups else 0):
+            mass = [sum(c * post[p][k] for p, c in patterns.items()) for k in range(classes)]
+            rates = []
+            for k in range(classes):
                 row = []
-                for k in (0, 1):
-                    seen = {-1: 1.0 + 2 * k, 0: 1.0, 1: 3.0 - 2 * k}
-                    for p, c in patterns.items():
-                        seen[p[r]] += c * (post[p] if k == 0 else 1 - post[p])
-                    if k == 0:
-                        seen[-1] = min(seen[-1], FALSE_ALARMS * (seen[0] + seen[1]))
-                    every = sum(seen.values())
-                    row.append({v: math.log(s / every) for v, s in seen.items()})
-                table.append(row)
-            model = cls(prior, table)
-            fresh = {p: model.posterior(p) for p in patterns}
-            if max((abs(fresh[p] - post[p]) for p in patterns), default=0) < 1e-9:
+                for r in range(n):
+                    seen = {v: sum(c * post[p][k] for p, c in patterns.items() if p[r] == v) for v in (-1, 0, 1)}
+                    prior = {-1: alarm, 0: 0.5 * (1 - alarm), 1: 0.5 * (1 - alarm)} if k == 0 else dict.fromkeys((-1, 0, 1), 1 / 3)
+                    strength = weight * total if k == 0 else weight * mass[k] * 0.01
+                    seen = {v: x + strength * prior[v] + 1e-9 for v, x in seen.items()}
+                    if k and r in groups[k - 1]:
+                        least = rates[0][r][-1] * sum(seen.values())
+                        seen[-1] = max(seen[-1], least)
+                    row.append({v: x / sum(seen.values()) for v, x in seen.items()})
+                rates.append(row)
+            model = cls([m / total for m in mass], rates)
+            fresh = {p: model.posteriors(p) for p in patterns}
+            if max(abs(x - y) for p in patterns for x, y in zip(fresh[p], post[p], strict=True)) < 1e-9:
                 break
             post = fresh
         return model
 
-    def weight(self, rule: int, v: int) -> float:
-        good, bad = self.table[rule]
-        w = good[v] - bad[v]
-        # A vote for one side never counts for the other; a rule that didn't vote says nothing.
-        return max(0.0, w) if v > 0 else min(0.0, w) if v < 0 else 0.0
+    def posteriors(self, p: tuple[int, ...]) -> list[float]:
+        logs = [math.log(max(m, 1e-300)) + sum(math.log(max(row[r][v], 1e-300)) for r, v in enumerate(p)) for m, row in zip(self.prior, self.rates, strict=True)]
+        top = max(logs)
+        each = [math.exp(x - top) for x in logs]
+        return [x / sum(each) for x in each]
 
     def posterior(self, p: tuple[int, ...]) -> float:
-        s = math.log(self.prior / (1 - self.prior)) + sum(self.weight(r, v) for r, v in enumerate(p))
-        return 1 / (1 + math.exp(-s)) if s > -700 else 0.0
+        """The probability that a document with these votes is good."""
+        return self.posteriors(p)[0]
 
     def column(self) -> Column:
-        s = F.lit(math.log(self.prior / (1 - self.prior)))
-        for r in range(len(self.table)):
-            v = F.get("votes", F.lit(r))
-            s = s + F.when(v > 0, self.weight(r, 1)).when(v < 0, self.weight(r, -1)).otherwise(0.0)
-        return 1 / (1 + F.exp(-s))
+        """``posterior`` of the column ``votes``."""
+
+        def log_odds(k):
+            out = F.lit(math.log(max(self.prior[k], 1e-300) / max(self.prior[0], 1e-300)))
+            for r, (bad, good) in enumerate(zip(self.rates[k], self.rates[0], strict=True)):
+                w = {v: math.log(max(bad[v], 1e-300) / max(good[v], 1e-300)) for v in (-1, 0, 1)}
+                v = F.get("votes", F.lit(r))
+                out = out + F.when(v < 0, w[-1]).when(v > 0, w[1]).otherwise(w[0])
+            return out
+
+        return 1 / sum((F.exp(log_odds(k)) for k in range(1, len(self.prior))), F.lit(1.0))
 
 
 def quality(docs: DataFrame, *, text: str = "text", threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:

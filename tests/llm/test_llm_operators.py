@@ -157,13 +157,6 @@ def test_quality_repeats(spark):
     assert out == {0: (6, 0), 1: (4, 0), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (6, 0), 6: (0, 2)}
 
 
-def test_quality_model_separates():
-    good, bad = (0, 1, 1, 1, 0, 1, 1), (-1, 1, 1, 1, 0, 1, 1)
-    model = quality.LabelModel.fit({good: 900, bad: 60, (1, -1, 1, 1, 1, 1, -1): 40})
-    assert model.posterior(good) > 0.9 and model.posterior(bad) < 0.5
-    assert quality.LabelModel.fit({}).prior == 0.5
-
-
 def test_toxicity(spark, docs, labels, empty):
     rows = [(i, prose(i, 80) + (" you idiot scum" if i % 4 == 0 else ""), "en", "s", 0) for i in range(400)]
     d = spark.createDataFrame(rows, SCHEMA)
