@@ -31,7 +31,11 @@ def test_rates_and_shares_are_learnt():
     assert np.allclose(model.prior, [0.85, 0.1, 0.05], atol=0.04)
     assert abs(model.rates[1][0][-1] - 0.9) < 0.15 and abs(model.rates[2][3][-1] - 0.8) < 0.15
     said = np.array([model.posterior(tuple(x)) >= 0.5 for x in v.tolist()])
-    assert (said == (kind == 0)).mean() > 0.98
+    # Who knew all shares and rates could do no better than this by much.
+    bad = np.array([[0.01, 0.01, 0.01, 0.01, 0.0, 0.1], [0.9, 0.7, 0.01, 0.01, 0.0, 0.1], [0.01, 0.01, 0.9, 0.8, 0.0, 0.1]])
+    rates = np.where(v[:, None] < 0, bad, np.where(v[:, None] > 0, 0.9, 0.1) * (1 - bad))
+    best = (np.array([0.85, 0.1, 0.05]) * rates.prod(2)).argmax(1) == 0
+    assert (said == (kind == 0)).mean() > (best == (kind == 0)).mean() - 0.02
 
 
 def test_documents_stay_against_the_bad_vote_of_a_rule_that_votes_at_random():
