@@ -60,9 +60,9 @@ def station(c) -> Column:
 
 
 def station_text(start_m, end_m) -> Column:
-    """Metres back to a station range."""
+    """Metres back to a station range; null without both."""
     a, b = col(start_m).cast("long"), col(end_m).cast("long")
-    return F.format_string("K%d+%03d-K%d+%03d", F.floor(a / 1000), a % 1000, F.floor(b / 1000), b % 1000)
+    return F.when(a.isNotNull() & b.isNotNull(), F.format_string("K%d+%03d-K%d+%03d", F.floor(a / 1000), a % 1000, F.floor(b / 1000), b % 1000))
 
 
 def station_valid(c) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,14 @@ def let(value, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def constants(df: DataFrame, *columns: str, most: int = 10_000) -> list[tuple]:
+    """Distinct rows of a small dimension, to become part of a plan; more than ``most`` of them are an error."""
+    rows = df.select(*columns).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows in a table that a plan is to hold")
+    return sorted((tuple(r) for r in rows), key=repr)
+
+
 def is_present(c, kind: str = "string") -> Column:
     """Missing is null, the empty string, array or map; zero and false are values. ``kind``: string, collection, other."""
     c = col(c)

@@ -132,9 +132,15 @@ def classify_first(c, patterns: Sequence[tuple[str, str]], default: str | None =
 
 
 def catalogue_sources(files: DataFrame, profiles: DataFrame, name: str, *, fallback: str) -> DataFrame:
-    """Files with the first profile (profile, pattern, priority) whose pattern their name holds, else the fallback."""
-    hits = files.join(F.broadcast(profiles), F.contains(F.lower(name), F.lower("pattern"))).groupBy(name).agg(F.min_by("profile", F.struct("priority", "profile")).alias("profile"), F.min("priority").alias("priority"))
-    return files.join(hits, name, "left").withColumn("profile", F.coalesce("profile", F.lit(fallback)))
+    """Files with the first profile (profile, pattern, priority) whose pattern their name holds, else the fallback.
+    Profiles are a small dimension, which becomes a constant of the plan."""
+    from ..functions.values import constants
+
+    rows = sorted(constants(profiles, "priority", "profile", "pattern"))
+    kind = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(n).alias("profile"), F.lit(k).alias("priority")) for k, n, p in rows])
+    first = F.get(F.filter(kind, lambda r: F.contains(F.lower(F.col(name)), F.lower(r["pattern"]))), F.lit(0)) if rows else F.struct(F.lit(None).cast("string").alias("profile"), F.lit(None).cast("int").alias("priority"))
+    out = files.withColumn("_hit", first)
+    return out.withColumns({"profile": F.coalesce("_hit.profile", F.lit(fallback)), "priority": F.col("_hit.priority")}).drop("_hit")
 
 
 def pack_pieces(df: DataFrame, key: Sequence[str], order: str, size: str, budget: int) -> DataFrame:

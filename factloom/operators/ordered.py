@@ -4,6 +4,7 @@ how rows are dealt out."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +22,9 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence, n: int = 1) ->
 
 
 def best_row(df: DataFrame, keys: Sequence[str], rank: Sequence[Column], *, least: bool = True) -> DataFrame:
-    """The row of each key with the least (or greatest) rank, by partial aggregation: no sort, and a hot key is
-    reduced before the shuffle. ``rank`` must be total."""
+    """The row of each key with the least (or greatest) rank. Aggregation is partial, so a hot key is reduced in each
+    task before the shuffle; as whole rows are its buffers, the engine sorts each task's rows by key for it.
+    ``rank`` must be total."""
     row = F.struct(*[F.col(c) for c in df.columns])
     rank = F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)])
     pick = F.min_by if least else F.max_by
@@ -57,6 +59,12 @@ def merge_by_priority(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 def disagreements(df: DataFrame, keys: Sequence[str], fields: Sequence[str], source: str) -> DataFrame:
     """Fields for which a key's sources give different present values: key, field, alternatives (value and its
     sources). Nothing is adjudicated."""
+    shown = {f: F.when(is_present(f), F.col(f).cast("string")) for f in fields}
+    # Most keys agree: those with two hashes of a field are found by numbers alone, and only their rows go on.
+    ends = [x(F.xxhash64(F.lit(i), c)).alias(f"_{n}{i}") for i, c in enumerate(shown.values()) for n, x in (("lo", lambda h, c=c: F.min(F.when(c.isNotNull(), h))), ("hi", lambda h, c=c: F.max(F.when(c.isNotNull(), h))))]
+    differ = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(*ends)
+    some = differ.where(reduce(lambda a, b: a | b, [F.col(f"_lo{i}") != F.col(f"_hi{i}") for i in range(len(fields))]))
+    df = df.join(some, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]), "left_semi")
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("p")
     long = df.select(*keys, source, pairs).where(is_present("p.value")).select(*keys, F.col("p.field").alias("field"), F.col("p.value").alias("value"), source)
     by_value = long.groupBy(*keys, "field", "value").agg(F.array_sort(F.collect_set(source)).alias("sources"))

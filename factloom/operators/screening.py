@@ -4,6 +4,7 @@ is missing gives the lowest priority of knowledge or no judgement, not a low lev
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,13 +160,24 @@ def confidence(stability, observed, exposure, gaps, conflicts, validity) -> Colu
     return F.get(F.array(*map(F.lit, CONFIDENCE)), F.least(rank, cap))
 
 
+def _holds_any(words: Sequence[str]):
+    return lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in words], F.lit(False))
+
+
 def hazard_profiles(objects: DataFrame, profiles: DataFrame, key: str, labels: str, present: str) -> DataFrame:
     """Profiles whose alias an object's labels hold, with key inputs it lacks. ``profiles``: profile, aliases array,
-    inputs array (a small dimension)."""
-    alias = profiles.select("profile", "inputs", F.explode("aliases").alias("alias"))
-    rows = objects.select(key, F.explode(labels).alias("label"), F.col(present).alias("_present"))
-    hits = rows.join(F.broadcast(alias), F.contains("label", "alias")).select(key, "profile", F.array_sort(F.array_except("inputs", "_present")).alias("missing_inputs"))
-    return hits.distinct()
+    inputs array (a small dimension, which becomes a constant of the plan)."""
+    from ..functions.values import constants
+
+    hits = []
+    for profile, aliases, inputs in constants(profiles, "profile", "aliases", "inputs"):
+        fits = F.exists(labels, _holds_any(aliases))
+        lacks = F.array_sort(F.array_except(F.array(*map(F.lit, inputs)).cast("array<string>"), F.col(present)))
+        hits.append(F.when(fits, F.struct(F.lit(profile).alias("profile"), lacks.alias("missing_inputs"))))
+    if not hits:
+        return objects.select(key, F.lit(None).cast("string").alias("profile"), F.array().cast("array<string>").alias("missing_inputs")).limit(0)
+    rows = objects.select(key, F.explode(F.array_compact(F.array(*hits))).alias("h"))
+    return rows.select(key, "h.profile", "h.missing_inputs").distinct()
 
 
 def critical_gaps(fields: DataFrame, guidance: DataFrame, key: str, *, n: int | None = None) -> DataFrame:

@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 
 from ..functions.values import finite
 
-# Names of working conditions and patterns of measures with their units.
-CONDITIONS = ("非正常", "正常", "天然", "饱和", "饱水", "暴雨", "地震", "现状")
+# Names of working conditions; names of measures and their units, in lower case.
+CONDITIONS = ("天然", "饱和", "饱水", "暴雨", "地震", "正常", "非正常", "现状")
 MEASURES = (
-    ("unit_weight", r"(?:重度|γ).*(?i:kn/m)[3³]"),
-    ("cohesion", r"(?:内聚力|黏聚力|粘聚力|^c[/（(]).*(?i:kpa)"),
-    ("friction_angle", r"(?:内摩擦角|φ|ϕ).*(?:°|º|度)"),
-    ("required_factor", r"^(?:设计|要求)?安全系数$"),
-    ("safety_factor", r"^(?:危岩|浅层|整体)?(?:边坡)?稳定性?系数(?:F[Ss]?|K)?$|^F[Ss]$"),
+    ("unit_weight", "重度|γ", "kn/m3"),
+    ("cohesion", "内聚力|黏聚力|粘聚力|^c[/（(]", "kpa"),
+    ("friction_angle", "内摩擦角|φ|ϕ", "°|º|度"),
+    ("required_factor", "^(?:设计|要求)?安全系数$", ""),
+    ("safety_factor", "^(?:危岩|浅层|整体)?(?:边坡)?稳定性?系数(?:f[s]?|k)?$|^fs?$", ""),
 )
 
 
@@ -54,12 +54,16 @@ def condition_of(labels) -> Column:
 
 
 def measure_of(labels) -> Column:
-    """The one measure that some label is, else null."""
+    """The one measure that some label is, else null: the label holds one of its names and, anywhere, one of its units."""
 
-    def like(pattern: str) -> Column:
-        return F.exists(labels, lambda x: F.regexp_like(x, F.lit(pattern)))
+    def like(name: str, unit: str) -> Column:
+        def holds(x):
+            x = F.replace(F.lower(x), F.lit("³"), F.lit("3"))
+            return F.regexp_like(x, F.lit(name)) & F.regexp_like(x, F.lit(unit))
 
-    found = F.array_compact(F.array(*[F.when(like(p), F.lit(n)) for n, p in MEASURES]))
+        return F.exists(labels, holds)
+
+    found = F.array_compact(F.array(*[F.when(like(name, unit), F.lit(n)) for n, name, unit in MEASURES]))
     return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
 
 

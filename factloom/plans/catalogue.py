@@ -457,7 +457,7 @@ def graph_related_facts(spark, sf_dir):
     return graph.related_facts(nodes, edges, owners, "rid").select("owner", "relation", "label")
 
 
-@query()
+@query("""SELECT 'd_' || doc_id AS node, min('d_' || doc_id) OVER (PARTITION BY text) AS component FROM documents WHERE text IS NOT NULL""")
 def connected_components(spark, sf_dir):
     """Documents linked by equal text within sources: components of the bipartite graph of sources and texts."""
     d = t(spark, sf_dir, "documents")
@@ -760,7 +760,9 @@ def threshold_lines(spark, sf_dir):
     return n.join(hits, "doc_id", "left").na.fill(0, ["n_thresholds"])
 
 
-@query()
+@query("""
+WITH s AS (SELECT doc_id, source, regexp_replace(lower(text), '\\s+', '', 'g') AS t, regexp_replace(lower(substr(text, 1, 40)), '\\s+', '', 'g') AS p FROM documents)
+SELECT source, count(*) AS n, count(*) FILTER (contains(t, p)) AS found, count(*) FILTER (contains(t, p)) / count(*) AS recall FROM s GROUP BY ROLLUP (source)""")
 def phrase_recall(spark, sf_dir):
     """Recall of each document's own first words in its page text, by source and overall."""
     d = t(spark, sf_dir, "documents")
@@ -880,3 +882,6 @@ def fact_contract(spark, sf_dir):
     kind = F.when((F.col("l_linestatus") == "F") & (F.col("l_quantity") > 45), "picture").when(F.col("l_linestatus") == "F", "text").otherwise("number")
     facts = li.select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") != "R", F.lit("f")).alias("fact_id"), F.lit("v").alias("variable"), kind.alias("kind"), F.col("l_quantity").alias("value"), F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"), F.when(F.col("l_tax") != 0, F.lit("u")).alias("unit"))
     return facts.withColumn("problems", F.array_join(assessment.fact_problems(), "|")).where("problems <> ''").select("l_orderkey", "l_linenumber", "l_partkey", "problems")
+
+
+from . import catalogue_facts  # noqa: E402, F401 - registers its queries here

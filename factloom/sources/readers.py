@@ -100,7 +100,7 @@ def read_series_workbooks(content: DataFrame, *, time_words: Sequence[str] = ("
                         pick = lambda words, t=table: next((i for i, c in enumerate(t.columns) if any(w in str(c).lower() for w in words)), None)
                         t, v, d = pick(time_words), pick(value_words), pick(device_words)
                         for i, r in enumerate(table.itertuples(index=False), 2):
-                            rows.append((path, sheet, i, _cell(r, t), _cell(r, d), _cell(r, v), None if v is None else f"{chr(65 + v % 26)}{i}", None))
+                            rows.append((path, sheet, i, _cell(r, t), _cell(r, d), _cell(r, v), None if v is None else f"{_letters(v)}{i}", None))
                 except Exception as e:  # noqa: BLE001  a broken file is a row, not a failed job
                     rows.append((path, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500]))
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in OBSERVATION.split(", ")])
@@ -108,6 +108,15 @@ def read_series_workbooks(content: DataFrame, *, time_words: Sequence[str] = ("
     return content.select("path", "content").mapInPandas(run, OBSERVATION)
 
 
+def _letters(i: int) -> str:
+    """The spreadsheet letters of a column counted from 0."""
+    out = ""
+    while i >= 0:
+        i, rest = divmod(i, 26)
+        out, i = chr(65 + rest) + out, i - 1
+    return out
+
+
 def _cell(row, i):
     return None if i is None or row[i] is None or row[i] != row[i] else str(row[i])
 
