@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, tokens, wordblocks
 from .common import store
 
 SEQUENCE, END = 1024, 2
@@ -29,6 +29,8 @@ SEQUENCE, END = 1024, 2
 ROUNDS, WIDTH, STEP, RATE = 400, 32, 0.1, 5.0
 #: Roundings at most, the share of what is left that each takes, and the part of a sequence that it may leave empty.
 ROUNDINGS, SHARE, WASTE = 4, 0.3, 256
+#: Bytes of text whose words are encoded together.
+BLOCK_BYTES = 4_000_000
 #: Pieces of one length are ranked within so many slices of them.
 SLICES = 64
 
@@ -214,14 +216,15 @@ def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = SEQ
     path = tokenizer or bpe.default_path()
 
     def run(batches):
-        model, row = bpe.load(path), TaskContext.get().partitionId() << 40
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            texts, doc_ids = b.column(1).to_pylist(), b.column(0).to_pylist()
-            for part in bpe.blocks(texts):
-                ids, at = model.encode_block([t or "" for t in texts[part]])
+            lists = b.column(1)
+            at = wordblocks.offsets(lists)
+            for part in wordblocks.cuts(np.diff(wordblocks.offsets(lists.values)[at]), BLOCK_BYTES):
+                ids = tokens.encode_block(path, b.slice(part.start, part.stop - part.start))
                 out = [[] for _ in range(6)]
-                for i, doc in enumerate(doc_ids[part]):
-                    own = np.append(ids[at[i] : at[i + 1]], np.array([end], "<u4"))
+                for i, doc in enumerate(b.column(0).slice(part.start, part.stop - part.start).to_pylist()):
+                    own = np.append(ids[i], np.array([end], "<u4"))
                     first = len(own) % capacity or capacity
                     cuts = [0, *range(first, len(own) + 1, capacity)]
                     for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -231,7 +234,8 @@ def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = SEQ
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    words = tokens.split_words(F.col(f"`{text}`"), [*bpe.load(path).special])
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(words, F.array().cast("array<string>")).alias("words"))
     return rows.mapInArrow(run, "doc_id long, row long, piece int, start long, length long, ids binary")
 
 

@@ -134,6 +134,21 @@ def _block_words(path: str):
     return run
 
 
+def encode_block(path: str, b: pa.RecordBatch) -> list[np.ndarray]:
+    """Ids of each text of a batch whose column 1 has the texts' words: each distinct word of the batch is encoded once."""
+    words, counts, _, (_, _, odd, odd_sizes, odd_ids) = _block_words(path)(b)
+    coded = words.dictionary_encode()
+    flat, sizes = bpe.load(path).encode_distinct(coded.dictionary.cast(pa.binary()).to_pylist())
+    codes = coded.indices.to_numpy().astype(np.int64) if len(words) else np.zeros(0, np.int64)
+    each = sizes[codes]
+    ids = flat[wordblocks.gather((np.cumsum(sizes) - sizes)[codes], each)].astype("<u4")
+    at = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])]
+    out = [ids[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    for i, x in zip(odd.tolist(), np.split(odd_ids.astype("<u4"), np.cumsum(odd_sizes)[:-1]), strict=False):
+        out[i] = x
+    return out
+
+
 def _encode_table(path: str):
     """A shard's table of distinct words: each is encoded once; its ids go to all blocks that have it."""
 

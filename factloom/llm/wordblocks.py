@@ -69,13 +69,14 @@ def wide(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [c.astype(np.int64) for c in columns]
 
 
-def _offsets(words: pa.Array) -> np.ndarray:
+def offsets(words: pa.Array) -> np.ndarray:
+    """Where values of strings, binaries or lists begin, and the last ends."""
     return np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
 
 
 def lengths_and_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of each string or binary, and all bytes in a row."""
-    at = _offsets(words)
+    at = offsets(words)
     data = words.buffers()[2] if len(words) else None
     return np.diff(at).astype(np.int64), np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.zeros(0, np.uint8)
 
@@ -134,10 +135,9 @@ def blocks(docs: DataFrame, split: Callable, shards: int, *, block_bytes: int =
         for b in batches:
             last = b.column(b.num_columns - 1)
             if pa.types.is_list(last.type):
-                at = np.frombuffer(last.buffers()[1], np.int32)[last.offset : last.offset + len(last) + 1] if len(last) else np.zeros(1, np.int32)
-                size = np.diff(_offsets(last.values)[at])
+                size = np.diff(offsets(last.values)[offsets(last)])
             else:
-                size = np.diff(_offsets(last))
+                size = np.diff(offsets(last))
             for part in cuts(size, block_bytes):
                 words, counts, weights, kept = split(b.slice(part.start, part.stop - part.start))
                 coded = words.dictionary_encode()
