@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import assessment, coverage, documents, evaluation, identity, joins, layout, ordered, screening
+from ..operators import assessment, coverage, documents, evaluation, evidence, identity, joins, layout, ordered, screening
 from .catalogue import query, t
 
 
@@ -539,3 +539,85 @@ def assets_by_digest(spark, sf_dir):
     c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), F.sha1(F.col("c_name").cast("binary")).alias("sha"))
     a = t(spark, sf_dir, "supplier").join(c, F.col("doc") == F.col("s_suppkey") * 3).select(F.col("s_suppkey").alias("asset"), F.upper(F.substring("sha", 1, 10)).alias("prefix"))
     return joins.link_by_prefix(a, c, "asset", "prefix", "sha", "doc")
+
+
+# --- evidence of objects and fields ------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, o_orderkey % 3 < 2 AND o_custkey % 4 <> 1 AND o_custkey % 5 <> 2 AND o_orderkey % 7 <> 3 AS eligible FROM orders""")
+def whole_object_records(spark, sf_dir):
+    o = t(spark, sf_dir, "orders")
+    scope, body, mode = _of("o_orderkey", "整体边坡", "现状边坡", "危岩体"), F.when(F.col("o_custkey") % 4 == 1, "W1").when(F.col("o_custkey") % 4 == 2, ""), F.when(F.col("o_custkey") % 5 == 2, "slide")
+    issues = F.when(F.col("o_orderkey") % 7 == 3, F.array(F.lit("x"))).when(F.col("o_orderkey") % 7 == 4, F.array().cast("array<string>"))
+    return o.select("o_orderkey", evidence.eligible_whole(scope, body, mode, issues).alias("eligible"))
+
+
+@query("""SELECT o_orderkey, o_custkey % 2 = 0 AND o_orderkey % 3 <> 2 AND o_orderkey % 5 <> 0 AS stale FROM orders""")
+def stale_page_renders(spark, sf_dir):
+    k = F.col("o_orderkey")
+    name = lambda p: F.concat(F.lit(p), k.cast("string"), F.lit(".PNG"))
+    href = F.when(k % 3 == 0, name("./Assets/ocr_pages/")).when(k % 3 == 1, name("out\\assets\\ocr_pages\\")).otherwise(name("photos/"))
+    a = t(spark, sf_dir, "orders").select("o_orderkey", href.alias("href"), F.when(F.col("o_custkey") % 2 == 0, "pdf_derived").otherwise("upload").alias("origin"))
+    active = a.where(k % 5 == 0).select(F.lower(F.replace("href", F.lit("\\"), F.lit("/"))).alias("href"))
+    return evidence.stale_renders(a, active).select("o_orderkey", "stale")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 4 <> 1 THEN 'checked' ELSE c_mktsegment END AS c_mktsegment, c_acctbal, c_custkey % 3 = 0 AND c_custkey % 4 <> 1 AS reviewed FROM customer""")
+def reviewed_values(spark, sf_dir):
+    """A review counts only while the scope it was made for is the row's; its nulls change nothing."""
+    c, k = t(spark, sf_dir, "customer"), F.col("c_custkey")
+    rows = c.withColumn("side", F.when(k % 2 == 0, "left")).select("c_custkey", "c_nationkey", "side", "c_mktsegment", "c_acctbal")
+    reviews = rows.where(k % 3 == 0).select("c_custkey", F.when(k % 4 == 1, -1).otherwise(F.col("c_nationkey")).alias("c_nationkey"), "side", F.lit("checked").alias("c_mktsegment"), F.lit(None).cast("double").alias("c_acctbal"))
+    return evidence.reviewed_overlay(rows, reviews, "c_custkey", ["c_nationkey", "side"], ["c_mktsegment", "c_acctbal"]).select("c_custkey", "c_mktsegment", "c_acctbal", "reviewed")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN array_to_string(list_sort(list_distinct([c_nationkey, 3, 12])), '|') WHEN 1 THEN CAST(c_nationkey AS VARCHAR) ELSE '' END AS pages FROM customer""")
+def pages_in_nested_json(spark, sf_dir):
+    """Pages of nested JSON: numbers and lists at any depth; not fractions, texts, or what a text quotes."""
+    c, n = t(spark, sf_dir, "customer"), F.col("c_nationkey").cast("string")
+    first = F.concat(F.lit('{"a": {"page": '), n, F.lit(', "b": [{"pages": [3, 12, "x", 1.5]}]}, "page_no": 99}'))
+    second = F.concat(F.lit('[{"page" : '), n, F.lit('}, {"page": 1.5}, {"page": true}, {"note": "say \\"page\\": 8, so"}]'))
+    third = F.lit('{"page": "7", "pages": [], "other": {"pages": ["1"]}}')
+    k = F.col("c_custkey") % 3
+    pages = evidence.pages_in_json(F.when(k == 0, first).when(k == 1, second).otherwise(third))
+    return c.select("c_custkey", F.array_join(F.transform(pages, lambda p: p.cast("string")), "|").alias("pages"))
+
+
+@query("""SELECT event_id, user_id FROM events WHERE regexp_matches(props, '"k": 7}') AND contains(lower(props), '"k"')""")
+def json_searches(spark, sf_dir):
+    e = t(spark, sf_dir, "events").withColumn("j", F.replace("props", F.lit('"k"'), F.lit('"page"')))
+    return evidence.search_json(e, "j", page=7, needle='"PAGE"').select("event_id", "user_id")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 2 THEN 'invalid_parts' WHEN 3 THEN 'parts_do_not_make_the_value' WHEN 4 THEN 'invalid_parts' WHEN 5 THEN 'invalid_parts' END AS problem FROM customer""")
+def field_evidence_parts(spark, sf_dir):
+    k = F.col("c_custkey") % 6
+    strings = lambda *x: F.array(*map(F.lit, x))
+    parts = F.when(k == 0, strings("rock fall", "slide（old）")).when(k == 1, strings("rock fall; slide(old)")).when(k == 2, strings("rock fall", "slide(old)")).when(k == 3, strings("rock fall", "slide")).when(k == 4, strings("rock fall", " ")).otherwise(F.array().cast("array<string>"))
+    problem = evidence.parts_problem(F.lit("rock fall;slide (old)"), parts, F.when(k == 2, "and").otherwise("；"))
+    return t(spark, sf_dir, "customer").select("c_custkey", problem.alias("problem"))
+
+
+@query("""
+WITH f AS (SELECT o_custkey AS k, o_orderkey % 6 AS kind, o_orderkey % 4 AS scope, o_orderkey % 5 AS said FROM orders),
+a AS (SELECT k, count(*) FILTER (kind IN (0, 1) AND scope < 2) AS current, count(*) FILTER (kind IN (0, 1) AND scope >= 2) AS historical, count(*) FILTER (kind = 2) AS protection, count(*) FILTER (kind = 3) AS exposure, bool_or(kind = 4 AND scope = 0) AS rock, bool_or(kind = 4 AND scope <> 0) AS unclear,
+bool_or(kind IN (0, 1) AND scope < 2 AND said = 1) AS now, bool_or(kind IN (0, 1) AND scope >= 2 AND said = 1) AS before, bool_or(kind = 5) AS candidate FROM f GROUP BY k)
+SELECT c_custkey AS k, coalesce(current, 0) AS current, coalesce(historical, 0) AS historical, coalesce(protection, 0) AS protection, coalesce(exposure, 0) AS exposure, concat_ws('|', CASE WHEN rock THEN 'rock' END, CASE WHEN unclear THEN 'unclear' END) AS body_types,
+concat_ws('|', CASE WHEN c_custkey % 3 = 0 THEN 'slide' END, CASE WHEN candidate OR c_custkey % 4 = 0 THEN 'fall' END) AS hazards, CASE WHEN c_custkey % 2 = 0 THEN greatest(c_nationkey + 0.0, 12.5) ELSE c_nationkey + 0.0 END AS height,
+CASE WHEN coalesce(now, false) OR (c_custkey % 5 = 0 AND c_custkey % 7 = 0) THEN 'crack' ELSE '' END AS observed, CASE WHEN coalesce(before, false) OR (c_custkey % 5 <> 0 AND c_custkey % 7 = 0) THEN 'crack' ELSE '' END AS historical_observed, coalesce(current, 0) > 0 OR c_custkey % 5 = 0 AS dynamic
+FROM customer LEFT JOIN a ON k = c_custkey""")
+def object_evidence(spark, sf_dir):
+    """Facts of objects by kind and time: current and earlier observations, affirmed alarms, hazards, bodies, sizes."""
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    objects = t(spark, sf_dir, "customer").select(
+        k.alias("k"), F.when(k % 3 == 0, "a slide here").alias("summary"), F.when(k % 4 == 0, "fall").alias("hazard_type"), F.when(k % 7 == 0, "a crack").when(k % 7 == 1, "未见crack").alias("deformation"),
+        F.col("c_nationkey").cast("string").alias("height"), F.when(k % 2 == 0, "12.5").alias("height_max"), F.lit("nan").alias("gradient"), F.lit(None).cast("string").alias("gradient_max"), (k % 5 == 0).alias("eligible_as_current"),
+    )
+    kind = _of("o_orderkey", "DeformationObservation", "InspectionRecord", "ProtectionWork", "ExposureObject", "HazardBody", "HazardSusceptibilityAssessment")
+    facts = t(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("k"), kind.alias("type"), F.when(o % 5 == 1, "crack widened").when(o % 5 == 2, "无crack").otherwise("calm").alias("label"), F.when(o % 4 == 0, "rock").alias("body_type"),
+        F.when(o % 4 == 0, "current").when(o % 4 == 2, "historical").alias("temporal_scope"), (o % 4 == 1).alias("current_status_known"), F.array(F.lit("fall")).alias("candidate_hazards"),
+    )
+    out = evidence.collect(objects, facts, "k", hazards=["slide", "fall"], alarms=["crack"])
+    shown = lambda c: F.array_join(c, "|").alias(c)
+    return out.select("k", "current", "historical", "protection", "exposure", shown("body_types"), shown("hazards"), "height", shown("observed"), shown("historical_observed"), "dynamic")

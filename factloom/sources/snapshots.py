@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests), a folder of our own."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a folder of our own if driver and executors are one
+    process (tests), else an error, as executors wouldn't see each other's files."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -59,6 +64,37 @@ def read_current(spark: SparkSession, base: str, *, verify: bool = False) -> Dat
     return df
 
 
+@contextmanager
+def run_lock(path: str):
+    """One run at a time, for processes of one machine: a file that names its process. A file of a process that has ended
+    is taken over; one of a live process is an error. Only the owner's file is removed at the end."""
+    mine = str(os.getpid())
+    for last in (False, True):
+        try:
+            with open(path, "x", encoding="utf-8") as f:
+                f.write(mine)
+            break
+        except FileExistsError:
+            owner = _owner(path)
+            if last or owner is None or os.path.exists(f"/proc/{owner}"):
+                raise RuntimeError(f"a run of process {owner or 'unknown'} holds {path}") from None
+            with suppress(FileNotFoundError):
+                os.unlink(path)
+    try:
+        yield
+    finally:
+        if _owner(path) == int(mine):
+            os.unlink(path)
+
+
+def _owner(path: str) -> int | None:
+    try:
+        with open(path, encoding="utf-8") as f:
+            return int(f.read())
+    except (FileNotFoundError, ValueError):
+        return None
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
