@@ -7,43 +7,53 @@ from .common import table
 
 
 def op1_toxicity(spark, sf_dir):
+    """Toxicity of every whole text of ``documents``, learnt from labels outside the held-out fold: doc_id, held_out, score, predicted."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_token_counts(spark, sf_dir):
+    """Exact token counts of every whole text: doc_id, n_bytes, n_tokens, over_limit."""
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
 def op3_lm_scoring(spark, sf_dir):
+    """Log probability of every whole text under the language model and under word counts alone, learnt outside the held-out fold."""
     return lm.score_corpus(table(spark, sf_dir, "documents"))
 
 
 def op4_quality_rules(spark, sf_dir):
+    """Figures of every whole text, whether the base rules fail it, and the label model's verdict."""
     judged = quality.quality(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
 def op5_bpe_round_trip(spark, sf_dir):
+    """Digests of every text's token ids and of what they decode to."""
     return tokens.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
 def op6_best_fit_packing(spark, sf_dir):
+    """Pieces of all documents with their places in sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op7_ngram_jaccard_join(spark, sf_dir):
+    """Shingle set sizes and components of near duplicates of all documents."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op8_language_id(spark, sf_dir):
+    """Predicted language of every whole text, learnt outside the held-out fold."""
     return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op9_exact_dedup(spark, sf_dir):
+    """Groups of equal texts of all rows: doc_id, keep_id, group_size, kept, text_sha256."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_url_filters(spark, sf_dir):
+    """Host, path, rule and verdict of every page's url."""
     return url_filters.url_verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
