@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text whose words share a block's table: bounds the memory of a task. Results don't depend on it.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 18_000_000
 #: Bytes of text for each shard of words.
 SHARD_BYTES = 64_000_000
 #: Rows of ``blocks``: the words of a block in one shard (shard >= 0; n: counts of them, one for each weight), or
