@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import assessment, coverage, documents, evaluation, evidence, identity, joins, layout, ordered, screening
+from ..operators import assessment, conditions, coverage, documents, evaluation, evidence, graph, identity, joins, layout, ordered, screening, series
 from .catalogue import query, t
 
 
@@ -621,3 +621,64 @@ def object_evidence(spark, sf_dir):
     out = evidence.collect(objects, facts, "k", hazards=["slide", "fall"], alarms=["crack"])
     shown = lambda c: F.array_join(c, "|").alias(c)
     return out.select("k", "current", "historical", "protection", "exposure", shown("body_types"), shown("hazards"), "height", shown("observed"), shown("historical_observed"), "dynamic")
+
+
+# --- graphs, stores and rules ------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT 0 AS part, '' AS k, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">' AS line UNION ALL SELECT 3, '', '</graph></graphml>'
+UNION ALL SELECT 1, 'c' || c_custkey, '<node id="c' || c_custkey || '"><data key="type">Customer</data><data key="label">' || c_name || ' &lt;&quot;&amp;&gt;</data></node>' FROM customer
+UNION ALL SELECT 2, 'e' || c_custkey, '<edge id="e' || c_custkey || '" source="c' || c_custkey || '" target="n' || c_nationkey || '"><data key="relation">of</data></edge>' FROM customer""")
+def graphml_export(spark, sf_dir):
+    c = t(spark, sf_dir, "customer")
+    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    nodes = c.select(name("c", "c_custkey").alias("id"), F.lit("Customer").alias("type"), F.concat("c_name", F.lit(' <"&>')).alias("label"))
+    edges = c.select(name("e", "c_custkey").alias("id"), name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst"), F.lit("of").alias("relation"))
+    return graph.graphml_lines(nodes, edges)
+
+
+@query("""SELECT o_custkey AS id, arg_min(o_orderkey, o_orderkey) AS seq, arg_min(o_orderstatus, o_orderkey) AS label FROM orders GROUP BY o_custkey""")
+def first_nodes_win(spark, sf_dir):
+    return graph.first_nodes(t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("label")), "seq")
+
+
+@query("""
+WITH s AS (SELECT s_suppkey, 'S' || s_suppkey AS id, 'P' || s_nationkey AS pt FROM supplier)
+SELECT DISTINCT pt AS src, id AS dst, 'HAS_MONITORING_SERIES' AS relation FROM s UNION SELECT 'site', pt, 'HAS_MONITORING_POINT' FROM s UNION SELECT id, 'mf_' || id, 'DERIVED_FROM' FROM s
+UNION SELECT id, 'mq_' || id, 'HAS_QUALITY_REPORT' FROM s UNION SELECT id, 'run1', 'GENERATED_BY' FROM s UNION SELECT 'mq_' || id, 'run1', 'GENERATED_BY' FROM s""")
+def series_provenance(spark, sf_dir):
+    s = t(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"), F.concat(F.lit("P"), F.col("s_nationkey").cast("string")).alias("sensor_id"), F.lit("f").alias("file"))
+    return series.provenance_graph(s, F.lit("site"), F.lit("run1"))[1]
+
+
+@query("""SELECT DISTINCT o_orderkey // 2 AS id, 'v' || o_orderkey % 3 AS payload FROM orders WHERE NOT (o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0)
+EXCEPT SELECT o_orderkey // 2, 'v' || o_orderkey % 3 FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0""")
+def rows_to_append(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = t(spark, sf_dir, "orders").select(F.floor(k / 2).alias("id"), F.concat(F.lit("v"), (k % 3).cast("string")).alias("payload"), ((k % 2 == 0) & (k % 5 != 0)).alias("old"))
+    return ordered.append_new(rows.where("old").drop("old"), rows.where("not old").drop("old"), "id", "payload")
+
+
+@query("""SELECT id FROM (SELECT o_orderkey // 2 AS id, o_orderkey % 3 AS v FROM orders) GROUP BY id HAVING count(DISTINCT v) > 1""")
+def store_collisions(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return ordered.version_collisions(t(spark, sf_dir, "orders").select(F.floor(k / 2).alias("id"), (k % 3).alias("payload")), "id", "payload")
+
+
+@query("""
+WITH r AS (SELECT p_partkey, concat_ws('|', CASE WHEN p_partkey % 7 = 0 THEN 'no_conditions' END, CASE WHEN p_partkey % 7 > 0 AND p_partkey % 3 = 0 THEN 'unknown_field' END, CASE WHEN p_partkey % 7 > 0 AND p_partkey % 4 = 0 THEN 'unknown_operator' END,
+CASE WHEN p_partkey % 7 > 0 AND p_partkey % 4 <> 0 AND p_partkey % 5 = 0 THEN 'not_a_number' END, CASE WHEN p_size % 2 = 0 THEN 'unknown_output' END) AS why FROM part)
+SELECT p_partkey, why, why = '' AS executable, why = '' AND p_partkey % 2 = 0 AS enabled FROM r""")
+def normalised_rules(spark, sf_dir):
+    k = F.col("p_partkey")
+    one = F.struct(F.when(k % 3 == 0, "mass").otherwise("height").alias("field"), F.when(k % 4 == 0, "like").otherwise("gte").alias("operator"), F.when(k % 5 == 0, "inf").otherwise("3.5").alias("value"))
+    rules = t(spark, sf_dir, "part").select("p_partkey", F.filter(F.array(one), lambda x: k % 7 != 0).alias("conditions"), F.when(F.col("p_size") % 2 == 0, "P9").otherwise("P1").alias("output"), F.when(k % 2 == 0, "approved").otherwise("draft").alias("approval_status"))
+    return conditions.normalise_rules(rules, ["height"]).select("p_partkey", F.array_join("unsupported", "|").alias("why"), "executable", "enabled")
+
+
+@query("""SELECT c_custkey, lower(replace(c_name, ' ', '')) AS name FROM customer""")
+def folded_names(spark, sf_dir):
+    c = t(spark, sf_dir, "customer")
+    wide = F.translate(F.upper(F.substring("c_name", 1, 4)), "CUST", "ＣＵＳＴ")
+    return c.select("c_custkey", T.nfkc_casefold(F.concat(wide, F.lit(" \u3000"), F.substring("c_name", 5, 99))).alias("name"))
