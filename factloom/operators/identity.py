@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_similarity, nfkc_casefold
@@ -16,46 +16,96 @@ def reconcile(rows: DataFrame, key: str, field: str, value: str) -> DataFrame:
     return out.select(key, field, F.when(F.col("_k") == 1, F.col("value")).alias("value"), (F.col("_k") > 1).alias("conflict"), "values")
 
 
+def similar_names(sources: DataFrame, masters: DataFrame, similar: float) -> DataFrame:
+    """Pairs of different names (s_name of sources, m_name of masters) whose ratio of matching blocks reaches ``similar``.
+
+    Matching blocks are common characters, so names of lengths a and b share at least ``need`` = similar * (a + b) / 2
+    of them, repeats counted. Names of the same characters are one class. Its characters are ordered by how many pairs
+    of classes they would join; of two classes that share ``need``, the first two shared ones (for long names, the
+    first) are among the first a - need + 2 and b - need + 2. Classes meet by these, once for a pair of classes, and
+    only names of classes that share enough are compared. No pair is lost.
+    """
+    if not 0 < similar <= 1:
+        raise ValueError(f"similar must be above 0 and at most 1, not {similar}")
+
+    def names(df, side):
+        n = df.select(f"{side}_name").where(F.col(f"{side}_name") != "").distinct()
+        return n.withColumn(f"{side}_class", F.array_join(F.array_sort(F.split(f"{side}_name", "")), ""))
+
+    def characters(named, side):
+        c = F.col(f"{side}_class")
+        times = lambda x: F.length(c) - F.length(F.replace(c, x, F.lit("")))
+        each = lambda x: F.transform(F.sequence(F.lit(1), times(x)), lambda i: F.ascii(x).cast("long") * 2**24 + i)
+        return named.select(c).distinct().select(c, F.explode(F.flatten(F.transform(F.array_distinct(F.split(c, "")), each))).alias("_c"))
+
+    named = {"s": names(sources, "s"), "m": names(masters, "m")}
+    chars = {side: characters(n, side) for side, n in named.items()}
+    counted = chars["s"].select("_c", F.lit(1).alias("s"), F.lit(0).alias("m")).unionByName(chars["m"].select("_c", F.lit(0).alias("s"), F.lit(1).alias("m")))
+    weight = F.ceil(F.log2(1 + F.sum("s").cast("double") * F.sum("m"))).cast("long")
+    weights = counted.groupBy("_c").agg(weight.alias("_w"))
+    classes = {side: c.join(weights, "_c").groupBy(f"{side}_class").agg(F.array_sort(F.collect_list(F.col("_w") * 2**45 + F.col("_c"))).alias(f"{side}_chars")).withColumn(side, F.size(f"{side}_chars")) for side, c in chars.items()}
+
+    lengths = {side: c.select(F.length(f"{side}_class").alias(side)).distinct() for side, c in named.items()}
+    least, most = F.ceil(F.col("s") * (similar / (2 - similar)) - 1e-9), F.floor(F.col("s") * ((2 - similar) / similar) + 1e-9)
+    both = lengths["s"].select("s", F.explode(F.sequence(least.cast("int"), most.cast("int"))).alias("m")).join(lengths["m"], "m")
+    both = both.withColumn("need", F.ceil((F.col("s") + F.col("m")) * (similar / 2) - 1e-9).cast("int"))
+    both = both.withColumn("width", F.when((F.col("need") > 1) & (F.greatest("s", "m") - F.col("need") <= 14), 2).otherwise(1))
+
+    def keyed(side):
+        first = F.slice(f"{side}_chars", F.lit(1), F.col(side) - F.col("need") + F.col("width"))
+        twos = F.flatten(F.transform("_first", lambda x, i: F.transform(F.slice("_first", i + 2, F.size("_first")), lambda y: F.array(x, y))))
+        keys = F.when(F.col("width") == 2, twos).otherwise(F.transform("_first", lambda x: F.array(x)))
+        return classes[side].join(both, side).withColumn("_first", first).select("s", "m", "need", "width", f"{side}_class", f"{side}_chars", F.explode(keys).alias("_key"))
+
+    shared = F.array_intersect("s_chars", "m_chars")
+    met = keyed("s").join(keyed("m").drop("need", "width"), ["s", "m", "_key"]).where((F.size(shared) >= F.col("need")) & (F.slice(shared, F.lit(1), F.col("width")) == F.col("_key")))
+    pairs = met.select("s_class", "m_class").join(named["s"], "s_class").join(named["m"], "m_class").select("s_name", "m_name").where("s_name <> m_name")
+    return pairs.where(name_similarity("s_name", "m_name") >= similar)
+
+
 def proposals(sources: DataFrame, masters: DataFrame, *, similar: float = 0.8) -> DataFrame:
     """Scored pairs of sources and masters, to be reviewed; the best first within a source is ``place`` 1.
 
     Both have id, name, route, side, start_m, end_m, namespace, external_id (null where unknown). 100: same registered
     key; 90: same range, route and side; 70: same name; 60: same range; 50: overlapping range on one route; 25:
-    similar name. Pairs come from blocks (key, name, first letters of the name, route and kilometre), never from all
-    pairs.
+    similar name. Pairs meet by key, name, range, or route and kilometre, each by the first of these that they share;
+    ``similar_names`` finds the others. Every pair with a score is returned.
     """
 
     def prepared(df, side):
-        n = df.withColumn("_name", nfkc_casefold("name"))
-        km = F.sequence(F.floor(F.col("start_m") / 1000).cast("long"), F.floor(F.col("end_m") / 1000).cast("long"))
-        spans = F.when(F.col("start_m").isNotNull() & (F.col("start_m") <= F.col("end_m")), F.transform(km, lambda k: F.concat(F.lit("r:"), F.coalesce("route", F.lit("")), F.lit(":"), k.cast("string"))))
-        any_route = F.when(F.col("start_m").isNotNull(), F.concat(F.lit("s:"), F.col("start_m").cast("string"), F.lit(":"), F.col("end_m").cast("string")))
-        names = [F.when(F.length("_name") > 0, F.concat(F.lit(f"n{k}:"), F.substring("_name", 1, k))) for k in (2,)] + [F.when(F.length("_name") > 1, F.concat(F.lit("e:"), F.substring("_name", -2, 2)))]
-        keyed = F.when(is_present("namespace") & is_present("external_id"), F.concat(F.lit("k:"), F.col("namespace"), F.lit("|"), F.col("external_id")))
-        blocks = F.array_distinct(F.array_compact(F.concat(F.array(keyed, any_route, *names), F.coalesce(spans, F.array().cast("array<string>")))))
         cols = ["id", "_name", "route", "side", "start_m", "end_m", "namespace", "external_id"]
-        return n.select(F.explode(blocks).alias("_block"), *[F.col(c).alias(f"{side}_{c.strip('_')}") for c in cols])
+        return df.withColumn("_name", nfkc_casefold("name")).select(*[F.col(c).alias(f"{side}_{c.strip('_')}") for c in cols]).distinct()
+
+    def blocks(df, side):
+        c = lambda name: F.col(f"{side}_{name}")
+        block = lambda kind, km, *parts: F.struct(F.lit(kind).alias("by"), km.cast("long").alias("km"), *[p.cast("string").alias(f"k{i}") for i, p in enumerate(parts)])
+        km = F.sequence(F.floor(c("start_m") / 1000).cast("long"), F.floor(c("end_m") / 1000).cast("long"))
+        spans = F.when(c("route").isNotNull() & (c("start_m") <= c("end_m")), F.transform(km, lambda k: block(3, k, c("route"), F.lit(""))))
+        keyed = F.when(is_present(c("namespace")) & is_present(c("external_id")), block(0, F.lit(0), c("namespace"), c("external_id")))
+        named = F.when(c("name") != "", block(1, F.lit(0), c("name"), F.lit("")))
+        ranged = F.when(c("start_m").isNotNull() & c("end_m").isNotNull(), block(2, F.lit(0), c("start_m").cast("double") + 0.0, c("end_m").cast("double") + 0.0))
+        found = F.array_compact(F.array(keyed, named, ranged))
+        return df.withColumn("_block", F.explode(F.when(spans.isNull(), found).otherwise(F.concat(found, spans)))).select("_block.*", *df.columns)
 
-    pairs = prepared(sources, "s").join(prepared(masters, "m"), "_block").drop("_block").distinct()
     eq = lambda c: F.coalesce(F.col(f"s_{c}") == F.col(f"m_{c}"), F.lit(False))
     differ = lambda c: F.coalesce(F.col(f"s_{c}") != F.col(f"m_{c}"), F.lit(False))
     kind = F.when(F.col("s_start_m").isNotNull() & F.col("m_start_m").isNotNull(), overlap_kind("s_start_m", "s_end_m", "m_start_m", "m_end_m"))
-    pairs = pairs.withColumn("_kind", kind)
+    is_kind = lambda k: F.coalesce(kind == k, F.lit(False))
+    same_key = eq("namespace") & eq("external_id") & is_present("s_namespace") & is_present("s_external_id")
     same_name = eq("name") & (F.col("s_name") != "")
-    score = F.greatest(
-        F.when(eq("namespace") & eq("external_id"), 100).otherwise(0),
-        F.when((F.col("_kind") == "same") & eq("route") & eq("side"), 90).otherwise(0),
-        F.when(same_name, 70).otherwise(0),
-        F.when(F.col("_kind") == "same", 60).otherwise(0),
-        F.when((F.col("_kind") == "partial") & eq("route"), 50).otherwise(0),
-        F.when(~same_name & (name_similarity("s_name", "m_name") >= similar), 25).otherwise(0),
-    )
-    conflicts = F.array_compact(F.array(*[F.when(differ(c), F.lit(c)) for c in ("namespace", "route", "side")], F.when(F.col("_kind") == "disjoint", F.lit("range"))))
-    from pyspark.sql import Window
-
-    out = pairs.withColumn("score", score).withColumn("conflicts", conflicts).where("score > 0")
-    place = F.row_number().over(Window.partitionBy("s_id").orderBy(F.size("conflicts") > 0, F.col("score").desc(), "m_id"))
-    return out.select(F.col("s_id").alias("source_id"), F.col("m_id").alias("master_id"), "score", "conflicts", place.alias("place"))
+    overlap = is_kind("partial") & eq("route")
+    first = F.when(same_key, 0).when(same_name, 1).when(is_kind("same"), 2).when(overlap, 3)
+    first_km = F.when(F.col("by") < 3, 0).otherwise(F.floor(F.greatest("s_start_m", "m_start_m") / 1000))
+
+    s, m = prepared(sources, "s"), prepared(masters, "m")
+    on = ["by", "km", "k0", "k1"]
+    met = blocks(s, "s").join(blocks(m, "m"), on).where((F.col("by") == first) & (F.col("km") == first_km)).drop(*on)
+    alike = similar_names(s, m, similar).join(s, "s_name").join(m, "m_name").where(first.isNull())
+    score = F.when(same_key, 100).when(is_kind("same") & eq("route") & eq("side"), 90).when(same_name, 70).when(is_kind("same"), 60).when(overlap, 50).otherwise(25)
+    conflicts = F.array_compact(F.array(*[F.when(differ(c), F.lit(c)) for c in ("namespace", "route", "side")], F.when(is_kind("disjoint"), F.lit("range"))))
+    out = met.unionByName(alike).select(F.col("s_id").alias("source_id"), F.col("m_id").alias("master_id"), score.alias("score"), conflicts.alias("conflicts"))
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.size("conflicts") > 0, F.col("score").desc(), "master_id", "conflicts"))
+    return out.withColumn("place", place)
 
 
 def active_bindings(history: DataFrame) -> DataFrame:
