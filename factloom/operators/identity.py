@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import name_similarity, nfkc_casefold
 from ..functions.values import is_present
-from .joins import overlap_kind
+from ..sources.snapshots import cut_lineage
 
 
 def reconcile(rows: DataFrame, key: str, field: str, value: str) -> DataFrame:
@@ -30,7 +30,7 @@ def similar_names(sources: DataFrame, masters: DataFrame, similar: float) -> Dat
 
     def names(df, side):
         n = df.select(f"{side}_name").where(F.col(f"{side}_name") != "").distinct()
-        return n.withColumn(f"{side}_class", F.array_join(F.array_sort(F.split(f"{side}_name", "")), ""))
+        return cut_lineage(n.withColumn(f"{side}_class", F.array_join(F.sort_array(F.split(f"{side}_name", "")), "")))
 
     def characters(named, side):
         c = F.col(f"{side}_class")
@@ -43,7 +43,7 @@ def similar_names(sources: DataFrame, masters: DataFrame, similar: float) -> Dat
     counted = chars["s"].select("_c", F.lit(1).alias("s"), F.lit(0).alias("m")).unionByName(chars["m"].select("_c", F.lit(0).alias("s"), F.lit(1).alias("m")))
     weight = F.ceil(F.log2(1 + F.sum("s").cast("double") * F.sum("m"))).cast("long")
     weights = counted.groupBy("_c").agg(weight.alias("_w"))
-    classes = {side: c.join(weights, "_c").groupBy(f"{side}_class").agg(F.array_sort(F.collect_list(F.col("_w") * 2**45 + F.col("_c"))).alias(f"{side}_chars")).withColumn(side, F.size(f"{side}_chars")) for side, c in chars.items()}
+    classes = {side: c.join(weights, "_c").groupBy(f"{side}_class").agg(F.sort_array(F.collect_list(F.col("_w") * 2**45 + F.col("_c"))).alias(f"{side}_chars")).withColumn(side, F.size(f"{side}_chars")) for side, c in chars.items()}
 
     lengths = {side: c.select(F.length(f"{side}_class").alias(side)).distinct() for side, c in named.items()}
     least, most = F.ceil(F.col("s") * (similar / (2 - similar)) - 1e-9), F.floor(F.col("s") * ((2 - similar) / similar) + 1e-9)
@@ -74,7 +74,9 @@ def proposals(sources: DataFrame, masters: DataFrame, *, similar: float = 0.8) -
 
     def prepared(df, side):
         cols = ["id", "_name", "route", "side", "start_m", "end_m", "namespace", "external_id"]
-        return df.withColumn("_name", nfkc_casefold("name")).select(*[F.col(c).alias(f"{side}_{c.strip('_')}") for c in cols]).distinct()
+        untyped = [c for c, kind in df.dtypes if kind == "void"]
+        named = df.withColumns({c: F.col(c).cast("string") for c in untyped}).withColumn("_name", nfkc_casefold("name"))
+        return cut_lineage(named.select(*[F.col(c).alias(f"{side}_{c.strip('_')}") for c in cols]).distinct())
 
     def blocks(df, side):
         c = lambda name: F.col(f"{side}_{name}")
@@ -89,23 +91,26 @@ def proposals(sources: DataFrame, masters: DataFrame, *, similar: float = 0.8) -
 
     eq = lambda c: F.coalesce(F.col(f"s_{c}") == F.col(f"m_{c}"), F.lit(False))
     differ = lambda c: F.coalesce(F.col(f"s_{c}") != F.col(f"m_{c}"), F.lit(False))
-    kind = F.when(F.col("s_start_m").isNotNull() & F.col("m_start_m").isNotNull(), overlap_kind("s_start_m", "s_end_m", "m_start_m", "m_end_m"))
-    is_kind = lambda k: F.coalesce(kind == k, F.lit(False))
+    known = F.col("s_start_m").isNotNull() & F.col("s_end_m").isNotNull() & F.col("m_start_m").isNotNull() & F.col("m_end_m").isNotNull()
+    meets = F.greatest("s_start_m", "m_start_m") <= F.least("s_end_m", "m_end_m")
     same_key = eq("namespace") & eq("external_id") & is_present("s_namespace") & is_present("s_external_id")
     same_name = eq("name") & (F.col("s_name") != "")
-    overlap = is_kind("partial") & eq("route")
-    first = F.when(same_key, 0).when(same_name, 1).when(is_kind("same"), 2).when(overlap, 3)
+    same_range = known & eq("start_m") & eq("end_m")
+    overlap = known & eq("route") & meets
+    first = F.when(same_key, 0).when(same_name, 1).when(same_range, 2).when(overlap, 3)
     first_km = F.when(F.col("by") < 3, 0).otherwise(F.floor(F.greatest("s_start_m", "m_start_m") / 1000))
 
     s, m = prepared(sources, "s"), prepared(masters, "m")
     on = ["by", "km", "k0", "k1"]
-    met = blocks(s, "s").join(blocks(m, "m"), on).where((F.col("by") == first) & (F.col("km") == first_km)).drop(*on)
+    met = blocks(s, "s").join(blocks(m, "m"), on).where((F.col("km") == first_km) & (F.col("by") == first)).drop(*on)
     alike = similar_names(s, m, similar).join(s, "s_name").join(m, "m_name").where(first.isNull())
-    score = F.when(same_key, 100).when(is_kind("same") & eq("route") & eq("side"), 90).when(same_name, 70).when(is_kind("same"), 60).when(overlap, 50).otherwise(25)
-    conflicts = F.array_compact(F.array(*[F.when(differ(c), F.lit(c)) for c in ("namespace", "route", "side")], F.when(is_kind("disjoint"), F.lit("range"))))
-    out = met.unionByName(alike).select(F.col("s_id").alias("source_id"), F.col("m_id").alias("master_id"), score.alias("score"), conflicts.alias("conflicts"))
-    place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.size("conflicts") > 0, F.col("score").desc(), "master_id", "conflicts"))
-    return out.withColumn("place", place)
+    score = F.when(same_key, 100).when(same_range & eq("route") & eq("side"), 90).when(same_name, 70).when(same_range, 60).when(overlap, 50).otherwise(25)
+    against = {**{c: differ(c) for c in ("namespace", "route", "side")}, "range": known & ~same_range & ~meets}
+    bits = sum((F.when(c, 2**i).otherwise(0) for i, c in enumerate(against.values())), F.lit(0))
+    out = met.unionByName(alike).select(F.col("s_id").alias("source_id"), F.col("m_id").alias("master_id"), score.alias("score"), bits.alias("_against"))
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.col("_against") > 0, F.col("score").desc(), "master_id", "_against"))
+    conflicts = F.array_compact(F.array(*[F.when(F.col("_against").bitwiseAND(2**i) > 0, c) for i, c in enumerate(against)]))
+    return out.withColumn("place", place).select("source_id", "master_id", "score", conflicts.alias("conflicts"), "place")
 
 
 def active_bindings(history: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def test_proposals_are_all_pairs(spark):
 
     def row(i, p):
         a = r.choice([None, 0, 500, 990, 1000, 2500])
-        end = None if a is None else a + r.choice([0, 10, 500, 2600, -100])
+        end = None if a is None or r.random() < 0.1 else a + r.choice([0, 10, 500, 2600, -100])
         return (f"{p}{i}", r.choice(names), r.choice([None, "", "G1", "G2"]), r.choice([None, "L", "R"]), a, end, r.choice([None, "", "n"]), r.choice([None, "", "1", "2"]))
 
     s, m = [row(i, "s") for i in range(60)], [row(i, "m") for i in range(60)]
